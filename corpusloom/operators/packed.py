@@ -230,6 +230,24 @@ def _unescape(data: np.ndarray, keep: np.ndarray, slash: np.ndarray, escape: np.
             keep[h + k] = True
 
 
+def split_packed_to_array(df: DataFrame, key: str, field: str, *, white_space_splits: bool = False, items: str = "items") -> DataFrame:
+    """(``key``, ``items``): the values packed in ``field`` as an array, one row per row of ``df`` and without a shuffle.
+
+    Values are those of ``split_packed``; a field without values gives an empty array.
+    """
+    kind = df.schema[key].dataType
+    source = df.select(F.col(key).alias("key"), F.col(field).cast("string").alias("field"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parent, _, values = split_packed_array(b.column(1), white_space_splits)
+            counts = np.bincount(parent, minlength=b.num_rows) if len(parent) else np.zeros(b.num_rows, np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, values.cast(pa.string()))], names=["key", "items"])
+
+    return source.mapInArrow(split, f"key {kind.simpleString()}, items array<string>").toDF(key, items)
+
+
 def split_packed(
     df: DataFrame, key: str, field: str, *, white_space_splits: bool = False, pos: str = "pos", item: str = "item"
 ) -> DataFrame:
