@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, neardup, sets, terms
+from corpusloom.llm import components, mixing, neardup, packing, sets, terms, truncation
 from corpusloom.operators.packed import split_packed_to_array
+from corpusloom.plans.skew import hot_split_join
 from corpusloom.sources.tables import table
 
 WORDS = r"[\p{L}\p{N}]+"
@@ -82,6 +83,55 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.class_report(*_alike_texts(spark, d)).withColumnRenamed("rec_key", "row_id")
 
 
+#: The model whose prompts are filled: the one with the smallest context, where texts may have to be divided.
+PROMPT_MODEL = "quillon-7b"
+
+
+def _capacity(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "model_limits").filter(F.col("model") == PROMPT_MODEL).agg(F.max("total_context")).first()[0]
+
+
+def p7_prompts(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", _capacity(spark, d))
+    return packed.withColumnRenamed("container", "prompt_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    capacity = _capacity(spark, d)
+    return packing.fill_report(packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", capacity), capacity)
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "source_weights"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    drawn, report = _mixed(spark, d)
+    shares = report.select("source_key", "target_share", "actual_share", "used_docs")
+    rows = report.agg(F.sum("used_docs")).first()[0] or 0
+    return hot_split_join(drawn, shares, ["source_key"], "used_docs", rows)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def _cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_texts(table(spark, d, "documents"), "doc_id", "text", "source", "title")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_texts(spark, d).filter("is_cut").select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(_cut_texts(spark, d))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.storage_limits(table(spark, d, "documents"), "text", "source")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -91,6 +141,13 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
+    "p7_prompts": p7_prompts,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_by_source": p9_by_source,
+    "p9_limits": p9_limits,
 }
 
 ORACLE = {
