@@ -51,6 +51,6 @@ def mix_sources(
     drawn = joined.withColumn("uses", uses.cast("int")).filter("uses > 0").select(key, "source_key", "tokens", "uses")
     used = drawn.groupBy("source_key").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("used_docs"))
     report = rates.join(used, "source_key", "left").fillna(0, ["used_tokens", "used_docs"])
-    whole = report.agg(F.sum("used_tokens").alias("whole_tokens"))  # one row
-    report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("whole_tokens") > 0, F.col("used_tokens") / F.col("whole_tokens")).otherwise(0.0))
-    return drawn, report.drop("whole_tokens")
+    report = durable(report)
+    whole = report.agg(F.sum("used_tokens")).first()[0] or 0
+    return drawn, report.withColumn("actual_share", F.col("used_tokens") / F.lit(float(whole)) if whole else F.lit(0.0))
