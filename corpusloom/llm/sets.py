@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.durable import durable
 
-#: A set is small if it enumerates at most so many subsets over all sizes of partners.
-MAX_SUBSETS = 512
+#: A set is small if it enumerates at most so many subsets over all sizes of partners and has at most so many values.
+MAX_SUBSETS, MAX_SMALL = 512, 64
 
 
 def needed_overlap(a: int, b: int, threshold: Fraction) -> int:
@@ -37,7 +37,7 @@ def subsets_enumerated(size: int, threshold: Fraction) -> int:
 
 def largest_small_size(threshold: Fraction, limit: int = MAX_SUBSETS) -> int:
     size = 1
-    while subsets_enumerated(size + 1, threshold) <= limit:
+    while size < MAX_SMALL and subsets_enumerated(size + 1, threshold) <= limit:
         size += 1
     return size
 

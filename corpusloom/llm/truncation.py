@@ -150,7 +150,7 @@ def _endings(documents: DataFrame, key: str, text: str, source: str, title: str
     one_line = ~tail.contains("\n")
     has_end = rf"[{ENDS}][{CLOSERS}]*(?:\s|$)"
     headline = one_line & F.when(F.col("name").isNotNull() & (F.col("name") != ""), tail == F.col("name")).otherwise(
-        (F.length("tail") <= HEADLINE) & ~tail.rlike(has_end) & ~tail.rlike(r"[&<,;:(]\S*$")
+        (F.length("tail") <= HEADLINE) & ~tail.rlike(has_end) & ~tail.rlike(r"[&<,;:(]\S*$") & ~_unclosed(tail)
     )
     sign_off = line.rlike(SIGN_OFF) & (before != "") & before.rlike(TERMINAL)
     a_list = ~one_line & ~tail.rlike(r"[.!?…]\s") & (_shape(line) == _shape(before))
