@@ -1,0 +1,158 @@
+"""Neural topic models as variational autoencoders, trained by gradients that the executors add up.
+
+Each epoch sends the weights out, sums the gradients of every partition's batches, and steps with Adam on the
+driver, which only ever holds arrays of the size of the model. ``decoder`` says how topics make words:
+``product`` (softmax of weighted topic logits), ``mixture`` (weighted topic distributions) or ``embedded``
+(distributions from inner products of topic vectors with given word vectors).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def _softplus(x):
+    return np.logaddexp(0, x)
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _softmax(x):
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@dataclass
+class TopicVAE:
+    vocab: int
+    topics: int
+    hidden: int = 64
+    decoder: str = "product"
+    words: np.ndarray | None = None  # word vectors of the embedded decoder
+    seed: int = 0
+    rate: float = 0.01
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if self.decoder not in ("product", "mixture", "embedded"):
+            raise ValueError(f"no decoder {self.decoder}")
+        r = np.random.default_rng(self.seed)
+        n = lambda a, b: r.standard_normal((a, b)) / np.sqrt(a)
+        if not self.weights:
+            width = self.vocab if self.decoder != "embedded" else self.words.shape[1]
+            self.weights = {"w1": n(self.vocab, self.hidden), "b1": np.zeros(self.hidden), "w2": n(self.hidden, self.hidden), "b2": np.zeros(self.hidden), "wm": n(self.hidden, self.topics), "bm": np.zeros(self.topics), "wl": n(self.hidden, self.topics) * 0.1, "bl": np.zeros(self.topics), "beta": r.standard_normal((self.topics, width)) * 0.1}
+        # prior: a symmetric Dirichlet seen through a logistic normal
+        self.prior_var = (1 - 2 / self.topics) + 1 / self.topics
+        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
+        self.steps = 0
+
+    def logits(self) -> np.ndarray:
+        return self.weights["beta"] @ self.words.T if self.decoder == "embedded" else self.weights["beta"]
+
+    def beta(self) -> np.ndarray:
+        return _softmax(self.logits())
+
+    def _encode(self, x):
+        w = self.weights
+        xn = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
+        a1 = xn @ w["w1"] + w["b1"]
+        h1 = _softplus(a1)
+        a2 = h1 @ w["w2"] + w["b2"]
+        h2 = _softplus(a2)
+        return xn, a1, h1, a2, h2, h2 @ w["wm"] + w["bm"], h2 @ w["wl"] + w["bl"]
+
+    def theta(self, x: np.ndarray) -> np.ndarray:
+        """Topic weights of documents given as counts, without noise."""
+        return _softmax(self._encode(x)[5])
+
+    def gradients(self, x: np.ndarray, noise: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and its gradients, both summed over the documents."""
+        w = self.weights
+        xn, a1, h1, a2, h2, mu, lv = self._encode(x)
+        lv = np.clip(lv, -8, 8)
+        sd = np.exp(lv / 2)
+        theta = _softmax(mu + noise * sd)
+        logits = self.logits()
+        if self.decoder == "product":
+            p = _softmax(theta @ logits)
+            d_out = x.sum(axis=1, keepdims=True) * p - x
+            d_theta, d_logits = d_out @ logits.T, theta.T @ d_out
+        else:
+            beta = _softmax(logits)
+            p = theta @ beta
+            d_p = -x / np.maximum(p, 1e-12)
+            d_theta, d_beta = d_p @ beta.T, theta.T @ d_p
+            d_logits = beta * (d_beta - (d_beta * beta).sum(axis=1, keepdims=True))
+        loss = -(x * np.log(np.maximum(p, 1e-12))).sum() + 0.5 * (np.exp(lv) / self.prior_var + mu**2 / self.prior_var - 1 + np.log(self.prior_var) - lv).sum()
+        d_z = theta * (d_theta - (d_theta * theta).sum(axis=1, keepdims=True))
+        d_mu = d_z + mu / self.prior_var
+        d_lv = d_z * noise * sd / 2 + 0.5 * (np.exp(lv) / self.prior_var - 1)
+        d_h2 = d_mu @ w["wm"].T + d_lv @ w["wl"].T
+        d_a2 = d_h2 * _sigmoid(a2)
+        d_a1 = (d_a2 @ w["w2"].T) * _sigmoid(a1)
+        g = {"wm": h2.T @ d_mu, "bm": d_mu.sum(0), "wl": h2.T @ d_lv, "bl": d_lv.sum(0), "w2": h1.T @ d_a2, "b2": d_a2.sum(0), "w1": xn.T @ d_a1, "b1": d_a1.sum(0)}
+        g["beta"] = d_logits @ self.words if self.decoder == "embedded" else d_logits
+        return float(loss), g
+
+    def step(self, g: dict[str, np.ndarray], n: int) -> None:
+        """One Adam step with gradients summed over ``n`` documents."""
+        self.steps += 1
+        for k, v in g.items():
+            m, s = self.moments[k]
+            m, s = 0.9 * m + 0.1 * v / n, 0.999 * s + 0.001 * (v / n) ** 2
+            self.moments[k] = m, s
+            self.weights[k] = self.weights[k] - self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def _dense(pdf: pd.DataFrame, vocab: int) -> np.ndarray:
+    x = np.zeros((len(pdf), vocab))
+    for i, (t, c) in enumerate(zip(pdf["terms"], pdf["counts"])):
+        x[i, np.asarray(t, dtype=int)] = c
+    return x
+
+
+def fit(model: TopicVAE, docs: DataFrame, epochs: int = 50) -> list[float]:
+    """Train on documents (key, terms array<int>, counts array<int>); the mean loss of each epoch. Rows are read once per epoch: cache or write ``docs`` first."""
+    losses = []
+    names = list(model.weights)
+    for epoch in range(epochs):
+
+        def run(batches: Iterator[pd.DataFrame], model=model, epoch=epoch) -> Iterator[pd.DataFrame]:
+            total, n, loss = None, 0, 0.0
+            for pdf in batches:
+                x = _dense(pdf, model.vocab)
+                noise = np.random.default_rng([model.seed, epoch, len(pdf), int(x.sum())]).standard_normal((len(x), model.topics))
+                part, g = model.gradients(x, noise)
+                total = g if total is None else {k: total[k] + g[k] for k in g}
+                n, loss = n + len(x), loss + part
+            if n:
+                yield pd.DataFrame({"n": [n], "loss": [loss], "g": [[total[k].ravel() for k in names]]})
+
+        sums = docs.select("terms", "counts").mapInPandas(run, "n bigint, loss double, g array<array<double>>").collect()  # one row per partition, of the model's size
+        n = sum(r.n for r in sums)
+        if not n:
+            break
+        model.step({k: np.sum([np.asarray(r.g[i]) for r in sums], axis=0).reshape(model.weights[k].shape) for i, k in enumerate(names)}, n)
+        losses.append(sum(r.loss for r in sums) / n)
+    return losses
+
+
+def infer(model: TopicVAE, docs: DataFrame, key: str) -> DataFrame:
+    """(key, topic_id, w): topic weights of documents."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            theta = model.theta(_dense(pdf, model.vocab))
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), model.topics), "topic_id": np.tile(np.arange(model.topics), len(pdf)), "w": theta.ravel()})
+
+    from pyspark.sql import functions as F
+
+    return docs.select(F.col(key).alias("key"), "terms", "counts").mapInPandas(run, f"key {kind}, topic_id int, w double").withColumnRenamed("key", key)
