@@ -95,8 +95,11 @@ def topic_estimate_reply(reply: Column) -> Column:
 
 
 def keyword_list(text: Column, strict_compat: bool = False) -> Column:
-    """Keywords of a JSON list, else of a comma list, without quotes and brackets (kept with ``strict_compat``, as a plain split does)."""
-    listed = F.from_json(text, "array<string>")
+    """Keywords of a list in JSON or with single quotes, else of a comma list, without quotes and brackets.
+
+    With ``strict_compat`` single quotes make no list, and the plain comma split keeps quotes and brackets.
+    """
+    listed = F.from_json(text, "array<string>", {"allowSingleQuotes": str(not strict_compat).lower()})
     bare = text if strict_compat else F.regexp_replace(text, r"^\s*\[|\]\s*$", "")
     parts = F.transform(F.split(bare, ","), lambda w: F.trim(w) if strict_compat else F.trim(F.regexp_replace(F.trim(w), "^['\"]|['\"]$", "")))
     return F.filter(F.coalesce(F.when(F.ltrim(text).startswith("["), listed), parts), lambda w: w != "")

@@ -31,8 +31,8 @@ def distribution(counts: DataFrame, by: list[str]) -> DataFrame:
 def high_frequency(counts: DataFrame, by: list[str], order: str) -> DataFrame:
     """Share of the most frequent fifth of the topics (one at least), stability 1 / (1 + variance / mean) and priority mean / most."""
     w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"r": F.row_number().over(w.orderBy(F.desc("n"), order)), "of": F.count("*").over(w)})
-    top = F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("of") / 5)), F.col("n")).otherwise(0))
+    ranked = counts.withColumns({"__rank": F.row_number().over(w.orderBy(F.desc("n"), order)), "__of": F.count("*").over(w)})
+    top = F.sum(F.when(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__of") / 5)), F.col("n")).otherwise(0))
     mean = F.avg("n")
     out = ranked.groupBy(*by).agg(ratio(top, F.sum("n")).alias("top_share"), (1 / (1 + ratio(F.var_pop("n"), mean))).alias("stability"), ratio(mean, F.max("n")).alias("priority"))
     limits = [(0.7, HIGH), (0.5, MEDIUM)]
@@ -81,10 +81,10 @@ def attempts(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """Statistics of repeated attempts: ``made`` topics each; the best attempt is the first of the most topics."""
     ok = F.when(F.col("made") > 0, F.col("made"))
     w = Window.partitionBy(*by).orderBy(F.desc("made"), order)
-    ranked = rows.withColumn("r", F.row_number().over(w))
+    ranked = rows.withColumn("__rank", F.row_number().over(w))
     return ranked.groupBy(*by).agg(
         F.count("*").alias("attempts"), F.max("made").alias("most"), F.coalesce(F.avg(ok), F.lit(0.0)).alias("average"), F.coalesce(F.min(ok), F.lit(0)).alias("least"),
-        F.when(F.count(ok) > 1, F.stddev_pop(ok)).otherwise(0.0).alias("std"), (F.count(ok) / F.count("*")).alias("success_rate"), F.max(F.when(F.col("r") == 1, F.col(order))).alias("best"),
+        F.when(F.count(ok) > 1, F.stddev_pop(ok)).otherwise(0.0).alias("std"), (F.count(ok) / F.count("*")).alias("success_rate"), F.max(F.when(F.col("__rank") == 1, F.col(order))).alias("best"),
     )
 
 
