@@ -65,6 +65,22 @@ def has_word(text: Column, keyword: Column) -> Column:
     return F.lower(text).contains(F.lower(keyword)) & F.regexp_like(F.lower(text), quoted)
 
 
+#: A private character that marks where words begin and end.
+EDGE = "\ue000"
+
+
+def with_edges(text: Column) -> Column:
+    """Lower-cased text with EDGE at every change between word characters (letters, digits, underscore) and others, and at its ends."""
+    w = r"[\p{L}\p{N}_]"
+    return F.regexp_replace(F.translate(F.lower(text), EDGE, ""), rf"(?<!{w})(?={w})|(?<={w})(?!{w})", EDGE)
+
+
+def has_word_edged(edged_text: Column, keyword: Column, edged_keyword: Column) -> Column:
+    """``has_word`` on texts prepared by ``with_edges``: a plain search, but for keywords that begin or end with no word character."""
+    plain = edged_keyword.startswith(EDGE) & edged_keyword.endswith(EDGE)
+    return F.when(plain, edged_text.contains(edged_keyword)).otherwise(has_word(F.translate(edged_text, EDGE, ""), keyword))
+
+
 def filled(c: Column) -> Column:
     """Trimmed value; blank as null."""
     return F.nullif(F.trim(c), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import has_word, words
+from corpusloom.functions.text import has_word_edged, with_edges, words
 
 
 def topic_keywords(topics: DataFrame, topic: str, keywords: str, *more: str) -> DataFrame:
@@ -24,13 +24,14 @@ def keyword_hits(articles: DataFrame, keywords: DataFrame, *, key: str = "row_id
     """
     distinct = keywords.select("keyword").distinct().withColumn("parts", words(F.col("keyword"))).filter(F.size("parts") > 0)
     longest = F.element_at(F.array_sort(F.transform("parts", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = distinct.select("keyword", longest.alias("word"))
+    asked = distinct.select("keyword", with_edges(F.col("keyword")).alias("edged"), longest.alias("word"))
     both = F.concat_ws(" ", "title", "text")
     held = articles.select(key, F.explode(F.array_distinct(words(both))).alias("word"))
-    # only articles' words that some keyword asks for go on; the text joins the pairs that are left
-    pairs = held.join(asked, "word").select(key, "keyword")
-    texts = articles.select(key, "title", both.alias("both"))
-    return pairs.join(texts, key).filter(has_word(F.col("both"), F.col("keyword"))).select("keyword", key, F.coalesce(has_word(F.col("title"), F.col("keyword")), F.lit(False)).alias("in_title"))
+    # only articles' words that some keyword asks for go on; the texts, prepared once each, join the pairs that are left
+    pairs = held.join(asked, "word").select(key, "keyword", "edged")
+    texts = articles.select(key, with_edges(F.col("title")).alias("in_title"), with_edges(both).alias("in_both"))
+    hit = lambda c: has_word_edged(F.col(c), F.col("keyword"), F.col("edged"))
+    return pairs.join(texts, key).filter(hit("in_both")).select("keyword", key, F.coalesce(hit("in_title"), F.lit(False)).alias("in_title"))
 
 
 def keyword_match(articles: DataFrame, topics: DataFrame, *, topic: str = "topic_id", key: str = "row_id") -> DataFrame:

@@ -39,6 +39,8 @@ def test_tokens(spark):
 def test_has_word(spark, t, k, hit):
     df = spark.createDataFrame([(t, k)], "t string, k string")
     assert df.select(text.has_word(F.col("t"), F.col("k"))).first()[0] in ((hit,) if k else (True, False))
+    edged = df.select(text.has_word_edged(text.with_edges(F.col("t")), F.col("k"), text.with_edges(F.col("k")))).first()[0]
+    assert edged in ((hit,) if k else (True, False))
 
 
 def test_lines(spark):
