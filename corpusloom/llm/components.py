@@ -15,8 +15,8 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return int(row.n), int(row.h or 0)
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star rewrite of edges (u, v), u the larger end.
+def _star(edges: DataFrame, n: int, small: bool) -> DataFrame:
+    """One star rewrite of the ``n`` edges (u, v), u the larger end.
 
     Large star: every node's larger neighbours are tied to its smallest neighbour (itself included).
     Small star: every node's smaller neighbours, and the node, are tied to its smallest neighbour.
@@ -27,8 +27,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         arcs = edges.select(F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("to")), F.struct(F.col("v").alias("at"), F.col("u").alias("to")))).alias("e")).select("e.at", "e.to")
     least = arcs.groupBy("at").agg(F.least(F.min("to"), F.first("at")).alias("m"), F.count("*").alias("uses"))
     tied = arcs if small else arcs.filter(F.col("to") > F.col("at"))
-    total = edges.count() * (1 if small else 2)
-    joined = hot_split_join(tied, least, ["at"], "uses", total)
+    joined = hot_split_join(tied, least, ["at"], "uses", n if small else 2 * n)
     out = joined.select(F.col("to").alias("u"), F.col("m").alias("v"))
     if small:
         out = out.unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v")))
@@ -54,8 +53,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, node: str = "node", c
     edges = durable(edges)
     before = _fingerprint(edges)
     while True:
-        large = durable(_star(edges, small=False))
-        edges = durable(_star(large, small=True))
+        large = durable(_star(edges, before[0], small=False))
+        edges = durable(_star(large, large.count(), small=True))
         after = _fingerprint(edges)
         if after == before:
             break

@@ -11,6 +11,7 @@ come from one pass that keeps only the open prefixes, as a stack does.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -140,5 +141,6 @@ def term_frequencies(records: DataFrame, terms: str, max_len: int = 1) -> DataFr
 
 def mark_terms(counted: DataFrame, n_rows: int, min_records: int = 3, max_share: float = 0.2) -> DataFrame:
     """Adds ``mark``: ``rare`` below ``min_records`` records, ``common`` above ``max_share`` of ``n_rows``, else null."""
-    mark = F.when(F.col("n_records") < min_records, "rare").when(F.col("n_records") > F.lit(max_share) * n_rows, "common")
+    share = Fraction(max_share).limit_denominator(1_000_000)
+    mark = F.when(F.col("n_records") < min_records, "rare").when(F.col("n_records") * share.denominator > n_rows * share.numerator, "common")
     return counted.withColumn("mark", mark)
