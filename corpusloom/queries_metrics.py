@@ -11,6 +11,7 @@ from corpusloom.operators import hierarchy as hi
 from corpusloom.operators import theta as th
 from corpusloom.operators import topicmetrics as tm
 from corpusloom.operators import vocabulary
+from corpusloom.operators.coherence_cv import coherence_cv
 from corpusloom.operators.orphans import normal_id
 from corpusloom.queries_prepare import _key
 from corpusloom.sources.tables import table
@@ -126,6 +127,10 @@ def window_npmi(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("topic_id").agg(F.count("npmi").alias("pairs"), F.round(F.coalesce(F.avg("npmi"), F.lit(0.0)), 6).alias("npmi"))
 
 
+def window_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return coherence_cv(_docs(spark, d), "ws", _ntm(spark, d), "topic_id").select("topic_id", *R("coherence"))
+
+
 def word_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     out = co.word_quality(_ntm(spark, d), "topic_id", vocabulary.document_frequency(docs, "row_id", "ws"), text.STOP_WORDS)
@@ -268,7 +273,7 @@ def sibling_npmi(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     topic_distribution, assignment_histogram, high_freq_priority, position_bias, topic_relevance, relevance_summary, attempt_stats, run_summary, judged_diversity,
-    decision_rollup, score_summary, top_words, doc_npmi, token_pmi_umass, window_npmi, word_quality, topic_diversity, word_uniqueness, multilevel_diversity,
+    decision_rollup, score_summary, top_words, doc_npmi, token_pmi_umass, window_npmi, window_coherence, word_quality, topic_diversity, word_uniqueness, multilevel_diversity,
     dynamic_diversity, rbo, overlap_coef, embedding_coherence, theta_argmax, beta_top_terms, theta_softmax, theta_beta_product, centroid_distances,
     purity_nmi, acc_macro_f1, hierarchy_edges, pcc, pcd, pncd, sibling_td, sibling_npmi,
 )}
