@@ -22,6 +22,8 @@ BLANK = " \t\n\r\x0b\x0c\x85\xa0         　​﻿"
 
 TERMINAL = rf"[{ENDS}][{CLOSERS}]*$"
 ELLIPSIS = rf"(?:…|\.\.\.)[{CLOSERS}]*$"
+#: Between two sentences; the marks stay with the first.
+BETWEEN = rf"(?=\s)(?<=[{ENDS}][{CLOSERS}]{{0,9}})\s+|\n\s*"
 CUT_MARK = r"(?:\[[^\]\[]{0,40}(?:\d+\s*\p{L}*|\.\.\.|…)\s*\]|\((?:contin|cont|more|weiter|suite|sigue)\p{L}*\.*\)?)$"
 ABBREVIATED = rf"(?:^|[^\p{{L}}])(?:{'|'.join(ABBREVIATIONS)})\.$"
 #: A line that stands for itself below a text: a byline after a dash, a labelled line, initials in brackets.
@@ -29,7 +31,7 @@ SIGN_OFF = r"^(?:[—–-]{1,2}\s*\S.*|\p{Lu}[\p{L} ]{1,20}:\s+\S.*|\([^()]{1,40
 
 #: A limit is a length that at least MIN_AT texts of the source have, and LIFT times as many as its neighbours on average.
 MIN_AT, LIFT, AROUND = 8, 6.0, 20
-#: A phrase that ends texts of so many sources in an ellipsis is meant to; a headline has no more characters.
+#: A phrase that ends different texts of so many sources in an ellipsis may be meant to; a headline has no more characters.
 MEANT_SOURCES, HEADLINE = 3, 60
 
 
@@ -144,9 +146,8 @@ def _endings(documents: DataFrame, key: str, text: str, source: str, title: str
     rows = rows.withColumns({"par": _after_last(F.col("tail"), "\n\n"), "line": _after_last(F.col("tail"), "\n")})
     rows = rows.withColumn("before", _after_last(F.expr("left(tail, length(tail) - length(line) - 1)"), "\n"))
     tail, line, par, before = (F.col(c) for c in ("tail", "line", "par", "before"))
-    # a recurring last phrase is short: the last characters of the line hold it
-    ending = F.regexp_replace(F.expr("right(line, 200)"), ELLIPSIS, "")
-    phrase = F.element_at(F.split(ending, rf"[{ENDS}][{CLOSERS}]*\s+"), -1)
+    phrase = F.element_at(F.split(F.regexp_replace(line, ELLIPSIS, ""), BETWEEN), -1)
+    copy = F.xxhash64(F.regexp_replace(tail, r"\s+", " "))
     one_line = ~tail.contains("\n")
     has_end = rf"[{ENDS}][{CLOSERS}]*(?:\s|$)"
     headline = one_line & F.when(F.col("name").isNotNull() & (F.col("name") != ""), tail == F.col("name")).otherwise(
@@ -165,8 +166,31 @@ def _endings(documents: DataFrame, key: str, text: str, source: str, title: str
         .otherwise("open end")
     )
     lengths = F.array(*[c.cast("int") for c in encoded_lengths(F.col("t")).values()])
-    judged = rows.select("key", "source_key", lengths.alias("lengths"), why.alias("why"), phrase.alias("phrase"))
-    return judged.withColumn("phrase", F.when(F.col("why") == "ellipsis?", F.trim("phrase")))
+    judged = rows.select("key", "source_key", lengths.alias("lengths"), why.alias("why"), phrase.alias("phrase"), copy.alias("copy"))
+    asked = F.col("why") == "ellipsis?"
+    return judged.withColumns({"phrase": F.when(asked, F.trim("phrase")), "copy": F.when(asked, F.col("copy"))})
+
+
+def _meant(asked: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+    """(phrase, meant): phrases that end different texts of MEANT_SOURCES sources in an ellipsis, and more texts so than
+    hold a sentence that begins with the phrase and goes on or closes in another way. Chance repeats of cuts grow with
+    the table, but so do the sentences they were cut from. Copies of a text count once.
+    """
+    often = asked.groupBy("phrase").agg(F.countDistinct("source_key").alias("n"), F.countDistinct("copy").alias("texts"))
+    often = durable(often.filter((F.col("n") >= MEANT_SOURCES) & (F.col("texts") >= MEANT_SOURCES)))
+    if often.isEmpty():
+        return often.select("phrase", F.lit(True).alias("meant"))
+    start = lambda c: F.regexp_extract(c, r"^\S+\s+\S+", 0)  # noqa: E731 - whole words, as phrases have three
+    tail = F.rtrim(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit(BLANK))
+    sentences = documents.select(tail.alias("t")).select(F.xxhash64("t").alias("copy"), F.explode(F.split("t", BETWEEN)).alias("s")).withColumn("s", F.trim("s"))
+    # one row per sentence and length of a phrase that starts alike, however many phrases do
+    sizes = often.groupBy(start("phrase").alias("start")).agg(F.collect_set(F.length("phrase")).alias("sizes"))
+    near = sentences.withColumn("start", start("s")).join(sizes, "start")
+    heads = near.select("copy", "s", F.explode(F.filter("sizes", lambda n: n <= F.length("s"))).alias("size"))
+    heads = heads.select("copy", F.expr("left(s, size)").alias("phrase"), F.expr("substring(s, size + 1)").alias("rest"))
+    other = heads.filter(~F.col("rest").rlike(rf"^{ELLIPSIS}")).join(often.select("phrase"), "phrase").groupBy("phrase").agg(F.countDistinct("copy").alias("others"))
+    kept = often.join(other, "phrase", "left").filter(F.col("texts") > F.coalesce("others", F.lit(0)))
+    return kept.select("phrase", F.lit(True).alias("meant"))
 
 
 def truncated_texts(documents: DataFrame, key: str, text: str, source: str, title: str | None = None) -> DataFrame:
@@ -175,15 +199,15 @@ def truncated_texts(documents: DataFrame, key: str, text: str, source: str, titl
     ``why`` names the sign of the cut. Texts without a full stop that are whole are told by their form: a
     headline (the title, or one short line without an inner sentence end where there is no title), a sign-off
     line, a list whose lines have one form (unless it fills a storage limit). A closing ellipsis is meant if the
-    phrase before it, of three words or more, ends texts of several sources so. Stray white space at the end is
-    no part of a text. Repeated rows are judged alike. Texts are read whole, of any length; columns besides the
+    phrase before it, of three words or more, ends different texts of several sources so, and more texts than use it
+    otherwise. Stray white space at the end is no part of a text. Repeated rows are judged alike. Texts are read whole, of any length; columns besides the
     named ones are not read.
     """
     rows = durable(_endings(documents, key, text, source, title))
     rows = _with_limit(rows, _limits(rows))
     asked = (F.col("why") == "ellipsis?") & F.col("phrase").rlike(r"\S\s+\S+\s+\S")
     asked = F.coalesce(asked, F.lit(False))
-    meant = rows.filter(asked).groupBy("phrase").agg(F.countDistinct("source_key").alias("n")).filter(F.col("n") >= MEANT_SOURCES).select("phrase", F.lit(True).alias("meant"))
+    meant = _meant(rows.filter(asked), documents, text)
     judged = rows.filter(asked).join(meant, "phrase", "left").unionByName(rows.filter(~asked).withColumn("meant", F.lit(False)), allowMissingColumns=True)
     why = (
         F.when(F.col("why") == "ellipsis?", F.when(F.coalesce(F.col("meant"), F.lit(False)), None).otherwise("ellipsis"))

@@ -37,6 +37,15 @@ def test_meant_ellipsis(spark):
     assert [got[i].is_cut for i in range(5)] == [False] * 4 + [True]
 
 
+def test_repeated_cuts_are_not_meant(spark):
+    cut = [f"Number {i} came by. The bridge over the riv..." for i in range(3)]
+    whole = [f"Number {i} went. The bridge over the river is closed." for i in range(4)]
+    copies = ["Number 8 came by. The minister said that..."] * 3
+    meant = [f"Number {i} came by. And so they wait..." for i in range(3)] + ["And so they wait for the bus."]
+    got = judge(spark, cut + whole + copies + meant, sources=[*"abc", *"abcd", *"abc", *"abcd"])
+    assert [got[i].is_cut for i in range(14)] == [True] * 3 + [False] * 4 + [True] * 3 + [False] * 4
+
+
 def limit_texts(encode, limit, n=60, seed=1):
     """Texts of many lengths cut where their encoded form reaches the limit."""
     r = random.Random(seed)
