@@ -118,6 +118,13 @@ def _dense(pdf: pd.DataFrame, vocab: int) -> np.ndarray:
     return x
 
 
+def _dense_parts(pdf: pd.DataFrame, vocab: int, cells: int = 4_000_000) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows of a batch as dense counts, so many at a time that they take about ``cells`` cells whatever the vocabulary."""
+    n = max(1, cells // max(1, vocab))
+    for i in range(0, len(pdf), n):
+        yield slice(i, i + n), _dense(pdf.iloc[i : i + n], vocab)
+
+
 def fit(model: TopicVAE, docs: DataFrame, epochs: int = 50) -> list[float]:
     """Train on documents (key, terms array<int>, counts array<int>); the mean loss of each epoch. Rows are read once per epoch: cache or write ``docs`` first."""
     losses = []
@@ -127,19 +134,20 @@ def fit(model: TopicVAE, docs: DataFrame, epochs: int = 50) -> list[float]:
         def run(batches: Iterator[pd.DataFrame], model=model, epoch=epoch) -> Iterator[pd.DataFrame]:
             total, n, loss = None, 0, 0.0
             for pdf in batches:
-                x = _dense(pdf, model.vocab)
-                noise = np.random.default_rng([model.seed, epoch, len(pdf), int(x.sum())]).standard_normal((len(x), model.topics))
-                part, g = model.gradients(x, noise)
-                total = g if total is None else {k: total[k] + g[k] for k in g}
-                n, loss = n + len(x), loss + part
+                words = int(sum(np.sum(c) for c in pdf["counts"]))
+                noise = np.random.default_rng([model.seed, epoch, len(pdf), words]).standard_normal((len(pdf), model.topics))
+                for at, x in _dense_parts(pdf, model.vocab):
+                    part, g = model.gradients(x, noise[at])
+                    total = g if total is None else {k: total[k] + g[k] for k in g}
+                    n, loss = n + len(x), loss + part
             if n:
-                yield pd.DataFrame({"n": [n], "loss": [loss], "g": [[total[k].ravel() for k in names]]})
+                yield pd.DataFrame({"n": [n], "loss": [loss], "g": [[total[k].tobytes() for k in names]]})
 
-        sums = docs.select("terms", "counts").mapInPandas(run, "n bigint, loss double, g array<array<double>>").collect()  # one row per partition, of the model's size
+        sums = docs.select("terms", "counts").mapInPandas(run, "n bigint, loss double, g array<binary>").collect()  # one row per partition, of the model's size
         n = sum(r.n for r in sums)
         if not n:
             break
-        model.step({k: np.sum([np.asarray(r.g[i]) for r in sums], axis=0).reshape(model.weights[k].shape) for i, k in enumerate(names)}, n)
+        model.step({k: np.sum([np.frombuffer(r.g[i]) for r in sums], axis=0).reshape(model.weights[k].shape) for i, k in enumerate(names)}, n)
         losses.append(sum(r.loss for r in sums) / n)
     return losses
 
@@ -150,7 +158,7 @@ def infer(model: TopicVAE, docs: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            theta = model.theta(_dense(pdf, model.vocab))
+            theta = np.concatenate([model.theta(x) for _, x in _dense_parts(pdf, model.vocab)] or [np.zeros((0, model.topics))])
             yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), model.topics), "topic_id": np.tile(np.arange(model.topics), len(pdf)), "w": theta.ravel()})
 
     from pyspark.sql import functions as F

@@ -45,12 +45,12 @@ def _tokenized(spark, d):
     return _articles(spark, d).filter(F.col("text").isNotNull()).select("row_id", toks.alias("tokens"))
 
 
-def _vocab(docs):
-    return vocabulary.vocabulary(docs, "row_id", "tokens", min_df=3, max_df=0.5, size=2000)
+def _vocab(docs, size=None):
+    return vocabulary.vocabulary(docs, "row_id", "tokens", min_df=3, max_df=0.5, size=size)
 
 
 def vocab_df(spark: SparkSession, d: str) -> DataFrame:
-    return _vocab(_tokenized(spark, d))
+    return _vocab(_tokenized(spark, d), size=2000)
 
 
 def vocab_full(spark: SparkSession, d: str) -> DataFrame:

@@ -60,7 +60,7 @@ def assignment_judged_offline(spark: SparkSession, d: str) -> DataFrame:
 
 def _bow(spark, d):
     docs = durable(_tokenized(spark, d))
-    vocab = durable(vocabulary.vocabulary(docs, "row_id", "tokens", min_df=3, max_df=0.5, size=500))
+    vocab = durable(vocabulary.vocabulary(docs, "row_id", "tokens", min_df=3, max_df=0.5))
     return durable(vocabulary.bag_of_words(docs, "row_id", "tokens", vocab)), vocab
 
 

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from corpusloom import queries_corpus, queries_models
 from corpusloom.functions import jsontext, numbers, text
 
 
@@ -81,3 +82,14 @@ def test_replies(spark):
     assert one(spark, 'about "estimated_topics": 12', jsontext.topic_estimate_reply) == 12 and one(spark, "some 7 topics", jsontext.topic_estimate_reply) == 7
     assert one(spark, "['a', 'b, c']", jsontext.keyword_list) == ["a", "b, c"] and one(spark, "['a']", lambda c: jsontext.keyword_list(c, True)) == ["['a']"]
     assert rows(spark.createDataFrame([('x {"evaluation": {"coherence": {"score": 4}}, "overall_score": 3} y',), ("no",)], "r string").select(jsontext.rubric(F.col("r")).alias("r")).select("r.coherence", "r.overall").filter("overall is not null")) == [(4.0, 3.0)]
+
+
+def test_vocabularies_are_whole(spark, tmp_path):
+    letters = "bcdfghjklmnp"
+    terms = ["z" + a + b + c + d for a in letters for b in letters for c in letters for d in letters][:2100]
+    spark.createDataFrame([(i, " ".join(terms) if i < 3 else "harbour crane vessel storm bridge council") for i in range(8)], "row_id bigint, text string").write.parquet(f"{tmp_path}/nyt_sampled.parquet")
+    d = str(tmp_path)
+    assert queries_corpus.bow(spark, d).select("term_id").distinct().count() == 2100
+    assert queries_corpus.vocab_df(spark, d).count() == 2000
+    bow, vocab = queries_models._bow(spark, d)
+    assert (vocab.count(), bow.count()) == (2100, 3 * 2100)
