@@ -141,3 +141,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("seen")) == rows(live.windowed_counts(df, "t", "e", "v"))
+
+
+def test_transport_is_fitted_on_all_rows(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 0.3, (1990, 4)), r.normal(2, 0.3, (10, 4))])
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
+    w = classic.transport_topics(data, "k", "v", 4).groupBy("topic_id").agg(F.avg("w").alias("w")).collect()
+    assert [x.w for x in w] == pytest.approx([0.25] * 4, abs=1e-6)
