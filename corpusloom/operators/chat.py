@@ -66,9 +66,9 @@ def call_all(prompts: DataFrame, key: str, prompt: str, client: Callable[[], Cli
     return source.mapInPandas(run, f"key {kind}, reply string, error string").withColumnRenamed("key", key)
 
 
-def relevance_prompt(text: Column, keywords: Column, summary: Column, most: int = 1000) -> Column:
-    """Asks whether a text is about a topic."""
-    return F.concat(F.lit("Topic: "), F.coalesce(summary, F.lit("")), F.lit("\nKeywords: "), F.coalesce(keywords, F.lit("")), F.lit("\nText: "), F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit('\nIs the text about the topic? Answer as {"answer": "yes"} or {"answer": "no"}.'))
+def relevance_prompt(text: Column, keywords: Column, summary: Column) -> Column:
+    """Asks whether a text, of any length, is about a topic."""
+    return F.concat(F.lit("Topic: "), F.coalesce(summary, F.lit("")), F.lit("\nKeywords: "), F.coalesce(keywords, F.lit("")), F.lit("\nText: "), F.coalesce(text, F.lit("")), F.lit('\nIs the text about the topic? Answer as {"answer": "yes"} or {"answer": "no"}.'))
 
 
 def topics_prompt(lines: Column, topics: Column) -> Column:

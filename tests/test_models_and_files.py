@@ -149,3 +149,9 @@ def test_transport_is_fitted_on_all_rows(spark):
     data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
     w = classic.transport_topics(data, "k", "v", 4).groupBy("topic_id").agg(F.avg("w").alias("w")).collect()
     assert [x.w for x in w] == pytest.approx([0.25] * 4, abs=1e-6)
+
+
+def test_relevance_prompt_holds_the_whole_text(spark):
+    text = "x" * 5000 + " harbour"
+    df = spark.createDataFrame([(text, "crane", "Ports")], "t string, k string, s string")
+    assert f"\nText: {text}\n" in df.select(chat.relevance_prompt(F.col("t"), F.col("k"), F.col("s"))).first()[0]
