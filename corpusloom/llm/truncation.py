@@ -85,7 +85,7 @@ def storage_limits(documents: DataFrame, text: str, source: str) -> DataFrame:
 def _limits(measured: DataFrame) -> DataFrame:
     """Limits from (source_key, lengths). Counts are combined before they are shuffled, by source, encoding and length;
     the neighbours of a length are seen through a window over those counts. A peak that under a third of the
-    texts at the highest peak of its source reach is taken for its shadow in another encoding."""
+    texts at the highest peak of its source reach is dropped as a shadow if most of its texts also lie at a higher peak, in that one's encoding."""
     rows = measured.filter(F.element_at("lengths", 1) > 0)
     long = rows.select("source_key", F.posexplode("lengths").alias("e", "len"))
     counts = long.groupBy("source_key", "e", "len").agg(F.count("*").alias("n"))
@@ -97,11 +97,15 @@ def _limits(measured: DataFrame) -> DataFrame:
     peaks = counts.withColumns({"background": background, "n_longer": longer}).filter((F.col("n") >= MIN_AT) & (F.col("n") >= LIFT * (F.col("background") + 0.5)))
     best = Window.partitionBy("source_key", "len").orderBy(F.desc("n"), "e")
     names = F.array(*[F.lit(n) for n in encoded_lengths(F.lit(""))])
-    return (
-        peaks.withColumns({"r": F.row_number().over(best), "top": F.max("n").over(Window.partitionBy("source_key"))})
-        .filter((F.col("r") == 1) & (F.col("n") * 3 >= F.col("top")))
-        .select("source_key", F.element_at(names, F.col("e") + 1).alias("encoding"), F.col("len").alias("limit_length"), F.col("n").alias("n_at"), "n_longer")
-    )
+    peaks = peaks.withColumns({"r": F.row_number().over(best), "top": F.max("n").over(Window.partitionBy("source_key"))}).filter("r = 1")
+    peaks = durable(peaks.select("source_key", "e", "len", "n", "n_longer", (F.col("n") * 3 < F.col("top")).alias("weak"), F.element_at(names, F.col("e") + 1).alias("encoding")))
+    one = F.struct("n", "e", "len", "weak", F.when(F.col("encoding").endswith("bytes"), 3).otherwise(0).alias("short"))
+    per_source = peaks.groupBy("source_key").agg(F.collect_list(one).alias("peaks"), F.max("weak").alias("any")).filter("any").drop("any")
+    size = lambda p: F.element_at("lengths", p["e"] + 1)
+    at = rows.join(per_source, "source_key").withColumn("p", F.explode(F.filter("peaks", lambda p: p["weak"] & (size(p) == p["len"]))))
+    shared = F.exists("peaks", lambda q: (q["n"] > F.col("p.n")) & size(q).between(q["len"] - q["short"], q["len"]))
+    shadows = at.groupBy("source_key", "p.e", "p.len").agg(F.avg(shared.cast("int")).alias("share")).filter("share > 0.5")
+    return peaks.join(shadows, ["source_key", "e", "len"], "left_anti").select("source_key", "encoding", F.col("len").alias("limit_length"), F.col("n").alias("n_at"), "n_longer")
 
 
 def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:

@@ -70,6 +70,12 @@ def test_hidden_limits(spark):
     assert not [k for k in got if k[0] == "free"]
 
 
+def test_rarer_limit_of_a_source_is_kept(spark):
+    data = [(t, "s") for t in limit_texts(lambda t: t, 200, n=120) + limit_texts(lambda t: t, 400, n=25)]
+    got = {(x.encoding, x.limit_length) for x in tr.storage_limits(spark.createDataFrame(data, "t string, source string"), "t", "source").collect()}
+    assert got == {("characters", 200), ("characters", 400)}
+
+
 def test_whole_text_at_a_limit_is_kept(spark):
     cut = limit_texts(lambda t: t, 200)
     whole = ["y" * 199 + "."] * 5
