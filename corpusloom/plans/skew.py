@@ -34,6 +34,33 @@ def hot_split_join(
     return through_hot.unionByName(through_cold)
 
 
+#: Members of a class that travel together when pairs are formed.
+CHUNK = 1024
+
+
+def pairs_of_members(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(a, b, similarity), a < b: the pairs of ``key`` behind ``links`` (a_set, b_set, similarity), and those within each set_id.
+
+    ``members`` (set_id, ``key``) must be a written table, as from ``durable``: its rows are taken in stretches of CHUNK
+    as they lie, and the members of one class in one stretch are a list. Lists are joined instead of rows and the
+    pairs of lists dealt out anew, so a class of any size is spread over all tasks, each pair of lists being
+    at most CHUNK * CHUNK pairs.
+    """
+    stretch = F.shiftright(F.monotonically_increasing_id(), CHUNK.bit_length() - 1)
+    lists = members.select("set_id", key, stretch.alias("at")).groupBy("set_id", "at").agg(F.collect_list(key).alias("keys"))
+    a = lists.select(F.col("set_id").alias("a_set"), F.col("at").alias("a_at"), F.col("keys").alias("a_keys"))
+    b = lists.select(F.col("set_id").alias("b_set"), F.col("at").alias("b_at"), F.col("keys").alias("b_keys"))
+    linked = links.select("a_set", "b_set", "similarity").hint("merge").join(a, "a_set").hint("merge").join(b, "b_set")
+    within = a.hint("merge").join(b.withColumnRenamed("b_set", "a_set"), "a_set").filter(F.col("a_at") <= F.col("b_at"))
+    within = within.select("a_set", F.col("a_set").alias("b_set"), "a_at", "b_at", "a_keys", "b_keys", F.lit(1.0).alias("similarity"))
+    # a list with itself holds pairs only if it has two members
+    within = within.filter((F.col("a_at") < F.col("b_at")) | (F.size("a_keys") > 1))
+    dealt = linked.select(*within.columns).unionByName(within).repartition("a_set", "b_set", "a_at", "b_at")
+    one = dealt.select("a_set", "b_set", "a_at", "b_at", "similarity", F.explode("a_keys").alias("x"), "b_keys").select("*", F.explode("b_keys").alias("y"))
+    same_list = (F.col("a_set") == F.col("b_set")) & (F.col("a_at") == F.col("b_at"))
+    return one.filter(~same_list | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def run_total(part: list[Column], order: list[Column], value: Column) -> Column:
     """Running sum of ``value`` over ``order`` within ``part``, the current row included."""
     from pyspark.sql import Window
