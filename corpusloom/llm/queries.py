@@ -83,22 +83,19 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.class_report(*_alike_texts(spark, d)).withColumnRenamed("rec_key", "row_id")
 
 
-#: The model whose prompts are filled: the one with the smallest context, where texts may have to be divided.
-PROMPT_MODEL = "quillon-7b"
-
-
-def _capacity(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "model_limits").filter(F.col("model") == PROMPT_MODEL).agg(F.max("total_context")).first()[0]
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    """The context of every model that has one: a row per model."""
+    return {r.model: r.total_context for r in table(spark, d, "model_limits").filter("model is not null and total_context > 0").collect()}
 
 
 def p7_prompts(spark: SparkSession, d: str) -> DataFrame:
-    packed = packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", _capacity(spark, d))
-    return packed.withColumnRenamed("container", "prompt_id")
+    packed = packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", _capacities(spark, d))
+    return packed.withColumnsRenamed({"name": "model", "container": "prompt_id"})
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    capacity = _capacity(spark, d)
-    return packing.fill_report(packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", capacity), capacity)
+    capacities = _capacities(spark, d)
+    return packing.fill_report(packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", capacities), capacities).withColumnRenamed("name", "model")
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -35,6 +38,35 @@ def test_every_item_once_and_no_overflow(spark):
     assert sum(sizes) / (100 * p.container.nunique()) > 0.98
 
 
+def span(p, rank):
+    """Median distance between the first and the last rank in a container of two items or more."""
+    at = p.assign(rank=p.id.map(rank)).groupby("container")["rank"]
+    return (at.max() - at.min() + 1)[at.count() > 1].median()
+
+
+@pytest.mark.parametrize("n", [1000, 9000])
+def test_containers_hold_neighbours(spark, n):
+    r = np.random.default_rng(n)
+    sizes = [int(x) for x in r.lognormal(5, 0.9, n)]
+    curve = r.permutation(n)
+    df = spark.createDataFrame([(i, s, int(c)) for i, (s, c) in enumerate(zip(sizes, curve))], "id bigint, size bigint, curve bigint")
+    p = packing.pack(df, "id", "size", "curve", 4096, 1).toPandas()
+    assert p.tokens.sum() == sum(sizes) and p.tokens.sum() / (4096 * p.container.nunique()) > 0.97
+    shuffled = dict(enumerate(r.permutation(n)))
+    assert span(p, dict(enumerate(curve))) < span(p, shuffled) / 10
+    wide = packing.pack(df, "id", "size", "curve", 4096, 1, window=512).toPandas()
+    assert span(wide, dict(enumerate(curve))) > span(p, dict(enumerate(curve)))
+
+
+def test_best_sum():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes, room = [r.randint(0, 30) for _ in range(r.randint(0, 8))], r.randint(0, 60)
+        got = packing.best_sum(sizes, room)
+        best = max(s for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if (s := sum(c)) <= room)
+        assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == best
+
+
 def test_one_capacity_empty_and_errors(spark):
     assert packed(spark, [1, 1, 0], 1).container.nunique() in (2, 3)
     assert len(packed(spark, [], 10)) == 0
@@ -49,9 +81,13 @@ def test_texts(spark):
     counts = dict(rows(measured(df, "k", "t").select("k", "tokens")))
     assert counts == {i: len(t.encode(x or "", add_special_tokens=False)) for i, x in enumerate(texts)}
     assert counts[5] > 1
-    p = packing.pack_texts(df, "k", "t", 64).toPandas()
-    assert p.groupby("k").tokens.sum().to_dict() == counts
-    assert packing.fill_report(packing.pack_texts(df.limit(0), "k", "t", 64), 64).first().containers == 0
+    sizes = {"small": 64, "large": 4096}
+    p = packing.pack_texts(df, "k", "t", sizes).toPandas()
+    for name, capacity in sizes.items():
+        mine = p[p.name == name]
+        assert mine.groupby("k").tokens.sum().to_dict() == counts and mine.groupby("container").tokens.sum().max() <= capacity
+    assert [r.containers for r in packing.fill_report(packing.pack_texts(df.limit(0), "k", "t", sizes), sizes).collect()] == [0, 0]
+    assert packing.pack_texts(df, "k", "t", {}).count() == 0
 
 
 def test_mixing(spark):
