@@ -1,4 +1,9 @@
+import html
+import json
 import random
+import re
+
+import numpy as np
 
 from corpusloom.llm import truncation as tr
 
@@ -84,6 +89,41 @@ def test_whole_text_at_a_limit_is_kept(spark):
     assert sum(got[i].is_cut for i in range(len(cut))) >= 0.8 * len(cut)
 
 
+def test_lengths_under_every_encoding():
+    r = random.Random(3)
+    texts = ["", "\n", "\r\n", "\r", "a\r", "\nb", "é😀<&>\"'\\\t", *["".join(r.choice('aé😀<&>"\'\\\t\r\n€') for _ in range(r.randint(0, 40))) for _ in range(200)]]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([7, *map(len, data)])
+    got = tr.lengths_of(offsets, np.frombuffer(b"#" * 7 + b"".join(data) + b"##", np.uint8))
+    for t, row in zip(texts, got.tolist()):
+        crlf = re.sub("(?<!\r)\n", "\r\n", t)
+        quoted = html.escape(t).replace("&#x27;", "&apos;")
+        loose = html.escape(t, quote=False)
+        escaped = json.dumps(t, ensure_ascii=False)[1:-1]
+        chars, utf8 = [len(x) for x in (t, crlf, loose, quoted, escaped)], [len(x.encode()) for x in (t, crlf, loose, quoted, escaped)]
+        by = dict(zip(tr.ENCODINGS, row))
+        assert [by[k] for k in ("characters", "crlf_characters", "entity_characters", "entity_quote_characters", "json_characters")] == chars
+        assert [by[k] for k in ("utf8_bytes", "crlf_bytes", "entity_bytes", "entity_quote_bytes", "json_bytes")] == utf8
+        assert by["utf16_units"] == len(t.encode("utf-16-le")) // 2 and by["json_ascii"] == len(json.dumps(t)) - 2
+
+
+def test_a_limit_decides_a_line_of_its_own(spark):
+    whole = [f"The council met {i} times.\n\nAll went well on Monday." for i in range(40)]
+    line = "The mill reopened.\n\nRounds are held on Monday"
+    filler = limit_texts(lambda t: t, len(line))
+    away = judge(spark, [*whole, line])
+    assert not away[len(whole)].is_cut
+    at = judge(spark, [*whole, line, *filler])
+    assert at[len(whole)].is_cut and at[len(whole)].why == "limit"
+
+
+def test_copies_make_no_limit(spark):
+    r = random.Random(4)
+    texts = ["word " * r.randint(20, 200) + f"{i}." for i in range(100)] + ["The very same notice for everybody."] * 60
+    df = spark.createDataFrame([(t, "s") for t in texts], "t string, source string")
+    assert tr.storage_limits(df, "t", "source").count() == 0
+
+
 def test_empty_table_long_text_and_report(spark):
     df = spark.createDataFrame([], "k bigint, t string, source string, title string")
     assert tr.truncated_texts(df, "k", "t", "source", "title").count() == 0
