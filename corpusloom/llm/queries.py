@@ -34,29 +34,41 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return sets.class_report(members, links)
 
 
-def _term_counts(spark: SparkSession, d: str, max_len: int) -> DataFrame:
-    articles = table(spark, d, "nyt_sampled")
-    keywords = split_packed_to_array(articles, "row_id", "keywords")
+def _keyword_terms(spark: SparkSession, d: str) -> DataFrame:
+    keywords = split_packed_to_array(table(spark, d, "nyt_sampled"), "row_id", "keywords")
     # values such as "(" aside, every value stays a term: only case and white space are evened out
     items = F.transform("items", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\s\p{Z}\x{85}]+", " ")))
-    by_field = {
-        "keywords": terms.term_frequencies(keywords.select(items.alias("terms")), "terms", 1),
-        "text": terms.term_frequencies(articles.select(words_of(F.col("text")).alias("terms")), "terms", max_len),
-    }
+    return terms.term_frequencies(keywords.select(items.alias("terms")), "terms", 1)
+
+
+def _text_terms(spark: SparkSession, d: str, max_len: int) -> DataFrame:
+    return terms.term_frequencies(table(spark, d, "nyt_sampled").select(words_of(F.col("text")).alias("terms")), "terms", max_len)
+
+
+def _marked(spark: SparkSession, d: str, by_field: dict[str, DataFrame]) -> DataFrame:
     parts = [c.select(F.lit(f).alias("field"), F.array_join("gram", " ").alias("term"), "n_terms", "occurrences", "n_records") for f, c in by_field.items()]
-    return terms.mark_terms(parts[0].unionByName(parts[1]), articles.count())
+    counted = parts[0]
+    for p in parts[1:]:
+        counted = counted.unionByName(p)
+    return terms.mark_terms(counted, table(spark, d, "nyt_sampled").count())
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _term_counts(spark, d, 1).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
+    both = _marked(spark, d, {"keywords": _keyword_terms(spark, d), "text": _text_terms(spark, d, 1)})
+    return both.filter(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _term_counts(spark, d, 1).drop("n_terms")
+    return _marked(spark, d, {"keywords": _keyword_terms(spark, d), "text": _text_terms(spark, d, 1)}).drop("n_terms")
+
+
+def p2_text_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``p2_terms`` that SQL can say: those of the texts."""
+    return _marked(spark, d, {"text": _text_terms(spark, d, 1)}).drop("n_terms", "field")
 
 
 def p2_text_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _term_counts(spark, d, 3).filter(F.col("field") == "text").drop("field", "mark")
+    return _marked(spark, d, {"text": _text_terms(spark, d, 3)}).drop("field", "mark")
 
 
 def _tied_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +146,7 @@ QUERIES = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
+    "p2_text_terms": p2_text_terms,
     "p2_text_trigrams": p2_text_trigrams,
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -154,6 +167,10 @@ s as (select row_id, ws, len(ws) n from w where len(ws) >= 20),
 p as (select a.row_id row_id_a, b.row_id row_id_b, a.n + b.n n, len(list_intersect(a.ws, b.ws)) o
   from s a join s b on a.row_id < b.row_id and a.n * 10 >= b.n * 7 and b.n * 10 >= a.n * 7)
 select row_id_a, row_id_b from p where o * 10 >= (n - o) * 7""",
+    "p2_text_terms": """
+with w as (select row_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term from nyt_sampled),
+c as (select term, count(*) occurrences, count(distinct row_id) n_records from w group by 1)
+select *, case when n_records < 3 then 'rare' when n_records * 5 > (select count(*) from nyt_sampled) then 'common' end mark from c""",
     "p2_text_trigrams": """
 with w as (select row_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from nyt_sampled),
 g as (select row_id, n, array_to_string(ws[i:i + n - 1], ' ') term

@@ -2,10 +2,10 @@
 
 Each record is a list of terms. Every position contributes one suffix, truncated to ``max_len`` terms; for
 each of its prefixes a flag says whether the prefix occurs there for the first time in the record. So the
-set of records behind an n-gram need not be kept: the flags sum up to its size. Equal suffixes are combined
-before the shuffle, routed by their first term (spread by the second where there is one, so that no term
-gathers all its suffixes in one task), sorted in reverse lexicographic order, and the counts of all prefixes
-come from one pass that keeps only the open prefixes, as a stack does.
+set of records behind an n-gram need not be kept: the flags sum up to its size. Equal suffixes of a stretch of
+records are combined before the shuffle, routed by their first term (spread by the second where there is one, so
+that no term gathers all its suffixes in one task), sorted in reverse lexicographic order, and the counts of all
+prefixes, equal suffixes included, come from one pass that keeps only the open prefixes, as a stack does.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which the suffixes of one first term are spread by their second term.
-SPREAD = 16
+#: Terms whose suffixes are combined at a time before they are shuffled.
+STRETCH = 1_000_000
 
 
 def _windows(ids: np.ndarray, lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,30 +43,41 @@ def _windows(ids: np.ndarray, lengths: np.ndarray, max_len: int) -> tuple[np.nda
 def _local_suffixes(max_len: int):
     """Suffixes of a batch of records, equal ones combined."""
 
+    def combined(lists: pa.Array) -> pa.RecordBatch:
+        lengths = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        ids = np.asarray(flat.indices).astype(np.int64)
+        words = flat.dictionary
+        suffix, fresh = _windows(ids, lengths, max_len)
+        distinct, back = np.unique(suffix, axis=0, return_inverse=True)
+        back = back.reshape(-1)
+        count = np.bincount(back, minlength=len(distinct))
+        records = np.stack([np.bincount(back, weights=fresh[:, k], minlength=len(distinct)) for k in range(max_len)], 1).astype(np.int64)
+        size = (distinct >= 0).sum(1)
+        taken = words.take(pa.array(distinct[distinct >= 0]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), taken.cast(pa.string())),
+                pa.array(count, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1) * max_len, pa.int32()), pa.array(records.reshape(-1), pa.int64())),
+            ],
+            names=["suffix", "cnt", "firsts"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, terms = [], 0
         for b in batches:
             lists = b.column(0)
-            lengths = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-            flat = lists.flatten().dictionary_encode()
-            ids = np.asarray(flat.indices).astype(np.int64)
-            if not len(ids):
+            n = len(lists.flatten())
+            if not n:
                 continue
-            words = flat.dictionary
-            suffix, fresh = _windows(ids, lengths, max_len)
-            distinct, back = np.unique(suffix, axis=0, return_inverse=True)
-            back = back.reshape(-1)
-            count = np.bincount(back, minlength=len(distinct))
-            records = np.stack([np.bincount(back, weights=fresh[:, k], minlength=len(distinct)) for k in range(max_len)], 1).astype(np.int64)
-            size = (distinct >= 0).sum(1)
-            taken = words.take(pa.array(distinct[distinct >= 0]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), taken.cast(pa.string())),
-                    pa.array(count, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1) * max_len, pa.int32()), pa.array(records.reshape(-1), pa.int64())),
-                ],
-                names=["suffix", "cnt", "firsts"],
-            )
+            held.append(lists)
+            terms += n
+            if terms >= STRETCH:
+                yield combined(pa.concat_arrays(held))
+                held, terms = [], 0
+        if held:
+            yield combined(pa.concat_arrays(held))
 
     return run
 
@@ -124,15 +135,9 @@ def term_frequencies(records: DataFrame, terms: str, max_len: int = 1) -> DataFr
     """
     lists = records.select(F.filter(F.col(terms), lambda x: x.isNotNull()).alias("terms")).filter(F.size("terms") > 0)
     local = lists.mapInArrow(_local_suffixes(max_len), "suffix array<string>, cnt bigint, firsts array<bigint>")
-    second = F.when(F.size("suffix") > 1, F.pmod(F.xxhash64(F.element_at("suffix", 2)), F.lit(SPREAD))).otherwise(F.lit(0)) if max_len > 1 else F.lit(0)
-    routed = (
-        local.withColumns({"first": F.element_at("suffix", 1), "part": second})
-        .repartition("first", "part")
-        .groupBy("first", "part", "suffix")
-        .agg(F.sum("cnt").alias("cnt"), *[F.sum(F.element_at("firsts", k + 1)).alias(f"f{k}") for k in range(max_len)])
-        .sortWithinPartitions(F.desc("first"), F.desc("suffix"))
-        .select("suffix", "cnt", F.array(*[F.col(f"f{k}") for k in range(max_len)]).alias("firsts"))
-    )
+    spread = max(16, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    second = F.when(F.size("suffix") > 1, F.pmod(F.xxhash64(F.element_at("suffix", 2)), F.lit(spread))).otherwise(F.lit(0)) if max_len > 1 else F.lit(0)
+    routed = local.withColumns({"first": F.element_at("suffix", 1), "part": second}).repartition("first", "part").sortWithinPartitions(F.desc("suffix")).select("suffix", "cnt", "firsts")
     counted = routed.mapInPandas(_prefix_counts(max_len), "gram array<string>, cnt bigint, records bigint")
     if max_len > 1:  # single terms, and grams that end with the record, were spread over parts
         counted = counted.groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.sum("records").alias("records"))

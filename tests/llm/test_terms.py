@@ -26,6 +26,19 @@ def test_against_counters(spark, n):
     assert sorted((list(x.gram), x.n_terms, x.occurrences, x.n_records) for x in term_frequencies(df, "t", n).collect()) == brute(lists, n)
 
 
+def test_stretches_meet_in_the_stack(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.terms.STRETCH", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        r = random.Random(9)
+        lists = [[r.choice("abcd") for _ in range(r.randint(1, 9))] for _ in range(200)]
+        df = spark.createDataFrame([(x,) for x in lists], "t array<string>").repartition(2)
+        for n in (1, 3):
+            assert sorted((list(x.gram), x.n_terms, x.occurrences, x.n_records) for x in term_frequencies(df, "t", n).collect()) == brute(lists, n)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_long_record_and_empty(spark):
     df = spark.createDataFrame([(["x", "y"] * 40_000,)], "t array<string>")
     assert rows(term_frequencies(df, "t", 2)) == [(["x"], 1, 40000, 1), (["x", "y"], 2, 40000, 1), (["y"], 1, 40000, 1), (["y", "x"], 2, 39999, 1)]
