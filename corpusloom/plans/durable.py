@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -25,6 +25,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def durable_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """``durable`` that also returns aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    out = durable(df.observe(seen, *[c.alias(k) for k, c in facts.items()]))
+    return out, seen.get
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``durable`` wrote; ``df`` and what is built on it must not be read again."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
