@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.durable import durable
+from corpusloom.plans.skew import hot_split_join, pairs_of_members
 
 #: A set is small if it enumerates at most so many subsets over all sizes of partners and has at most so many values.
-MAX_SUBSETS, MAX_SMALL = 512, 64
+MAX_SUBSETS, MAX_SMALL = 128, 64
 
 
 def needed_overlap(a: int, b: int, threshold: Fraction) -> int:
@@ -56,12 +57,12 @@ def value_sets(records: DataFrame, key: str, values: str, min_size: int) -> Data
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (set_id, rec_table, rec_key) and distinct sets (set_id, size, items as hashes)."""
+    """Members (set_id, rec_table, rec_key) and distinct sets (set_id, id, size, items as hashes); set_id is a hash of 128 bits, id a number."""
     hashed = sets.withColumn("h", F.array_sort(F.transform("items", lambda x: F.xxhash64(x, F.lit("a")))))
     named = hashed.withColumn("set_id", F.concat_ws("-", F.hex(F.xxhash64("h")), F.hex(F.xxhash64("h", F.lit("b")))))
     members = durable(named.select("set_id", "rec_table", "rec_key", "h"))
-    distinct = members.groupBy("set_id").agg(F.first("h").alias("h")).select(F.col("set_id"), F.size("h").alias("size"), "h")
-    return members.drop("h"), durable(distinct.withColumn("id", F.xxhash64("set_id")))
+    distinct = members.groupBy("set_id").agg(F.first("h").alias("h")).select("set_id", F.size("h").alias("size"), "h", F.monotonically_increasing_id().alias("id"))
+    return members.drop("h"), durable(distinct)
 
 
 def _small_candidates(small: DataFrame, threshold: Fraction, limit_size: int) -> DataFrame:
@@ -76,13 +77,12 @@ def _small_candidates(small: DataFrame, threshold: Fraction, limit_size: int) ->
                 rows += [(size, b, lo * 10_000 + hi, list(ix)) for ix in combinations(range(1, size + 1), c)]
     # fixed by the threshold and MAX_SUBSETS, whatever the data
     table = F.broadcast(spark.createDataFrame(rows, "size int, partner int, kind int, ix array<int>"))
-    keyed = small.join(table, "size").select(
-        "id", "size", "partner", F.xxhash64("kind", F.transform("ix", lambda i: F.element_at("h", i))).alias("k")
-    )
-    x = keyed.select(F.col("id").alias("x"), F.col("size").alias("sx"), F.col("partner").alias("px"), "k")
-    y = keyed.select(F.col("id").alias("y"), F.col("size").alias("sy"), F.col("partner").alias("py"), "k")
-    same = (F.col("sx") == F.col("py")) & (F.col("sy") == F.col("px"))
-    return x.join(y, "k").filter(same & (F.col("x") < F.col("y"))).select("x", "y").distinct()
+    keyed = small.join(table, "size").select("id", "size", "partner", F.xxhash64("kind", F.transform("ix", lambda i: F.element_at("h", i))).alias("k"))
+    # of two sizes the smaller set is x; equal sizes are on both sides
+    x = keyed.filter("size <= partner").select(F.col("id").alias("x"), F.col("size").alias("sx"), F.col("partner").alias("px"), "k")
+    y = keyed.filter("size >= partner").select(F.col("id").alias("y"), F.col("size").alias("sy"), F.col("partner").alias("py"), "k")
+    same = (F.col("sx") == F.col("py")) & (F.col("sy") == F.col("px")) & ((F.col("sx") < F.col("sy")) | (F.col("x") < F.col("y")))
+    return x.hint("merge").join(y, "k").filter(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _large_candidates(distinct: DataFrame, threshold: Fraction, limit_size: int) -> DataFrame:
@@ -97,17 +97,17 @@ def _large_candidates(distinct: DataFrame, threshold: Fraction, limit_size: int)
     rank = listed.groupBy("value").agg(F.count("*").alias("n"))
     reach = F.floor(F.lit(limit_size) * t)
     within = listed.filter(F.col("size") >= reach)
-    ranked = within.join(rank, "value")
+    ranked = within.hint("merge").join(rank, "value")
     order = Window.partitionBy("id").orderBy("n", "value")
     first = (
         ranked.withColumn("at", F.row_number().over(order))
         .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1)
-        .join(large_values, "value", "left_semi")
+        .hint("merge").join(large_values, "value", "left_semi")
     )
     x = first.filter(F.col("size") > limit_size).select(F.col("id").alias("p"), F.col("size").alias("sp"), "value")
     y = first.select(F.col("id").alias("q"), F.col("size").alias("sq"), "value")
     near = (F.col("sq") >= F.col("sp") * t - 1e-9) & (F.col("sq") * t - 1e-9 <= F.col("sp"))
-    return x.join(y, "value").filter(near & (F.col("p") != F.col("q"))).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+    return x.hint("merge").join(y, "value").filter(near & (F.col("p") != F.col("q"))).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -123,26 +123,23 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     candidates = small.unionByName(large)
     x = distinct.select(F.col("id").alias("x"), F.col("set_id").alias("a_set"), F.col("h").alias("hx"))
     y = distinct.select(F.col("id").alias("y"), F.col("set_id").alias("b_set"), F.col("h").alias("hy"))
-    both = candidates.join(x, "x").join(y, "y").withColumn("shared", F.size(F.array_intersect("hx", "hy")))
+    both = candidates.distinct().hint("merge").join(x, "x").hint("merge").join(y, "y").withColumn("shared", F.size(F.array_intersect("hx", "hy")))
     union = F.size("hx") + F.size("hy") - F.col("shared")
     kept = both.filter(F.col("shared") * t.denominator >= union * t.numerator)
     return members, kept.select("a_set", "b_set", (F.col("shared") / union).alias("similarity"))
 
 
 def expand_links(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of records (a_table, a_key, b_table, b_key, similarity), those with equal sets included."""
-    a = members.select(F.col("set_id").alias("a_set"), F.struct("rec_table", "rec_key").alias("a"))
-    b = members.select(F.col("set_id").alias("b_set"), F.struct("rec_table", "rec_key").alias("b"))
-    linked = links.join(a, "a_set").join(b, "b_set").select("a", "b", "similarity")
-    equal = a.join(b, F.col("a_set") == F.col("b_set")).filter(F.col("a") < F.col("b")).select("a", "b", F.lit(1.0).alias("similarity"))
-    pairs = linked.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    """All pairs of records (a_table, a_key, b_table, b_key, similarity), those with equal sets included. ``members`` is that of ``similar_sets``."""
+    pairs = pairs_of_members(members.select("set_id", F.struct("rec_table", "rec_key").alias("r")), links, "r")
     return pairs.select(F.col("a.rec_table").alias("a_table"), F.col("a.rec_key").alias("a_key"), F.col("b.rec_table").alias("b_table"), F.col("b.rec_key").alias("b_key"), "similarity")
 
 
 def class_report(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record: its class (equal sets), the size of the class, and its number of links to other sets."""
-    size = members.groupBy("set_id").agg(F.count("*").alias("class_size"))
-    ends = links.select(F.col("a_set").alias("set_id"), F.col("b_set").alias("o")).unionByName(links.select(F.col("b_set").alias("set_id"), F.col("a_set").alias("o")))
-    degree = ends.groupBy("set_id").agg(F.count("*").alias("links"))
-    per_class = size.join(degree, "set_id", "left").fillna(0, ["links"])
-    return members.join(per_class, "set_id").select("rec_table", "rec_key", F.col("set_id").alias("class_id"), "class_size", "links")
+    """One row per record: its class (equal sets), named by its smallest record, the size of the class, and its number of links to other sets."""
+    size = members.groupBy("set_id").agg(F.count("*").alias("class_size"), F.min(F.struct("rec_table", "rec_key")).alias("least"))
+    degree = links.select(F.explode(F.array("a_set", "b_set")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
+    per_class = size.hint("merge").join(degree, "set_id", "left").fillna(0, ["links"])
+    per_class = durable(per_class.withColumn("uses", F.col("class_size")))
+    joined = hot_split_join(members, per_class, ["set_id"], "uses", members.count())
+    return joined.select("rec_table", "rec_key", F.concat_ws(":", "least.rec_table", "least.rec_key").alias("class_id"), "class_size", "links")

@@ -34,6 +34,24 @@ def test_chain_star_and_random(spark):
     assert groups(spark, pairs) == brute(pairs)
 
 
+def test_stretches_that_see_only_parts(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.components.STRETCH", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        pairs = [(i, i + 1) for i in range(1000, 1090)] + [(5, i) for i in range(1500, 1540)] + [(1539, 1090)]
+        random.Random(8).shuffle(pairs)
+        assert groups(spark, pairs) == brute(pairs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_nodes_are_split(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.components.PLAIN", 5)
+    monkeypatch.setattr("corpusloom.llm.components._contract", lambda batches: batches)
+    pairs = [(900, i) for i in range(60)] + [(i, i + 70) for i in range(60)]
+    assert groups(spark, pairs) == brute(pairs)
+
+
 def test_nothing_tied(spark):
     assert groups(spark, []) == [] == groups(spark, [(1, 1), (None, 2)])
 
