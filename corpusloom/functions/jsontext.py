@@ -48,13 +48,13 @@ def _records(parsed: Column) -> Column:
     ))
 
 
-def _rescued(text: Column, longest: int = 500, most: int = 12) -> Column:
-    """Summaries and keyword lists found by themselves, paired in order, keywords up to ``most``."""
-    summaries = F.regexp_extract_all(text, F.lit(r'"Summary"\s*:\s*"([^"]{1,%d})"' % longest), F.lit(1))
-    lists = F.regexp_extract_all(text, F.lit(r'"Keywords"\s*:\s*\[([^\]]{1,%d})' % longest), F.lit(1))
+def _rescued(text: Column) -> Column:
+    """Summaries and keyword lists found by themselves, whole, and paired in order."""
+    summaries = F.regexp_extract_all(text, F.lit(r'"Summary"\s*:\s*"([^"]+)"'), F.lit(1))
+    lists = F.regexp_extract_all(text, F.lit(r'"Keywords"\s*:\s*\[([^\]]+)'), F.lit(1))
     n = F.least(F.size(summaries), F.size(lists))
     pairs = F.arrays_zip(F.slice(summaries, 1, n).alias("s"), F.slice(lists, 1, n).alias("k"))
-    words = lambda k: F.slice(F.filter(F.transform(F.split(k, ","), lambda w: F.trim(F.regexp_replace(w, "\"", ""))), lambda w: w != ""), 1, most)
+    words = lambda k: F.filter(F.transform(F.split(k, ","), lambda w: F.trim(F.regexp_replace(w, "\"", ""))), lambda w: w != "")
     return F.transform(pairs, lambda p, i: F.struct((i + 1).cast("int").alias("topic_num"), p["s"].alias("summary"), words(p["k"]).alias("keywords"), F.lit(True).alias("rescued")))
 
 
@@ -103,3 +103,42 @@ def keyword_list(text: Column, strict_compat: bool = False) -> Column:
     bare = text if strict_compat else F.regexp_replace(text, r"^\s*\[|\]\s*$", "")
     parts = F.transform(F.split(bare, ","), lambda w: F.trim(w) if strict_compat else F.trim(F.regexp_replace(F.trim(w), "^['\"]|['\"]$", "")))
     return F.filter(F.coalesce(F.when(F.ltrim(text).startswith("["), listed), parts), lambda w: w != "")
+
+
+def _outer_object(reply: Column) -> Column:
+    """From the first ``{`` to the last ``}``; null without them."""
+    return F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def hierarchy_topics(reply: Column) -> Column:
+    """struct<secondary, tertiary> of a reply: the whole reply if it begins with a brace, else a fenced object, else the outermost
+    braces. A field that is no list, and any reply that is no object, gives empty lists; null gives empty lists."""
+    fenced = F.nullif(F.regexp_extract(reply, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit(""))
+    body = F.when(F.trim(reply).startswith("{"), F.trim(reply)).otherwise(F.coalesce(fenced, _outer_object(reply)))
+    field = lambda name: F.coalesce(F.from_json(F.get_json_object(body, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+    return F.struct(field("secondary_topics").alias("secondary"), field("tertiary_topics").alias("tertiary"))
+
+
+def diversity_reply(reply: Column, n_topics: Column) -> Column:
+    """struct<redundant, overlap, unique_topics, diversity, mergeable, failed> of a reply's outermost object; a missing list counts 0, a
+    missing number of unique topics is that of all topics, a missing diversity 0.8. ``failed`` marks a reply without such an object."""
+    form = "struct<redundant_pairs:array<string>,partial_overlap_pairs:array<string>,mergeable_groups:array<array<string>>,unique_topics_count:bigint,diversity_score:double>"
+    e = F.from_json(_outer_object(reply), form)
+    size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))
+    grouped = F.coalesce(F.aggregate(e["mergeable_groups"], F.lit(0), lambda s, g: s + F.coalesce(F.size(g), F.lit(0))), F.lit(0))
+    return F.struct(
+        size(e["redundant_pairs"]).alias("redundant"), size(e["partial_overlap_pairs"]).alias("overlap"), F.coalesce(e["unique_topics_count"], n_topics.cast("bigint")).alias("unique_topics"),
+        F.coalesce(e["diversity_score"], F.lit(0.8)).alias("diversity"), grouped.alias("mergeable"), e.isNull().alias("failed"),
+    )
+
+
+def topic_summary(topic: Column, place: Column) -> Column:
+    """struct<id, summary> of a topic given as JSON: a flat one has ``summary`` and maybe ``topic_num`` (else T and its place), a nested one
+    ``Summary`` or ``summary`` under its name. Null where there is no summary but white space."""
+    flat = F.get_json_object(topic, "$.summary")
+    nested = F.from_json(topic, "map<string,map<string,string>>")
+    inner = lambda e: F.coalesce(e["value"]["Summary"], e["value"]["summary"])
+    first = F.element_at(F.filter(F.map_entries(nested), lambda e: inner(e).isNotNull()), 1)
+    found = F.trim(F.when(flat.isNotNull(), flat).otherwise(inner(first)))
+    name = F.when(flat.isNotNull(), F.coalesce(F.get_json_object(topic, "$.topic_num"), F.concat(F.lit("T"), place.cast("string")))).otherwise(first["key"])
+    return F.when(found != "", F.struct(name.alias("id"), found.alias("summary")))

@@ -43,3 +43,42 @@ def sample_size(n: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b; 0 where b is 0 or null."""
     return F.when(b != 0, a / b).otherwise(0.0)
+
+
+def split_sizes(n_train: Column, n_test: Column, wanted: Column, test_share: float) -> Column:
+    """struct<train, test>: ``wanted`` test rows (at most all) and as many training rows as keep the share; where these are too few, all of them and a smaller test set."""
+    test = F.least(n_test, wanted)
+    train = F.floor(test / F.lit(test_share) * F.lit(1 - test_share) + 1e-9)
+    fewer = F.floor(n_train / F.lit(1 - test_share) * F.lit(test_share) + 1e-9)
+    return F.when(train > n_train, F.struct(n_train.cast("bigint").alias("train"), fewer.cast("bigint").alias("test"))).otherwise(F.struct(train.cast("bigint").alias("train"), test.cast("bigint").alias("test")))
+
+
+def side_bias(side: Column, middle: Column) -> Column:
+    return F.when(side > middle * 1.5, "high").when(side > middle, "medium").otherwise("low")
+
+
+def neglect_band(middle: Column, front: Column) -> Column:
+    return F.when(middle < front * 0.5, "severe").when(middle < front * 0.8, "medium").otherwise("slight")
+
+
+def balance_band(balance: Column) -> Column:
+    return F.when(balance < 0.1, "balanced").when(balance < 0.2, "slight preference").otherwise("clear preference")
+
+
+def estimate_band(share: Column) -> Column:
+    """How near the made topics come to the model's own estimate."""
+    return F.when(share.between(0.8, 1.2), "accurate").when(share < 0.8, "overestimated").otherwise("underestimated")
+
+
+def diversity_bands(diversity: Column, redundancy: Column, fewer: Column) -> dict[str, Column]:
+    good = F.when(diversity >= 0.8, "excellent").when(diversity >= 0.6, "good").when(diversity >= 0.4, "fair").otherwise("poor")
+    overall = F.when((diversity >= 0.7) & (redundancy <= 0.2), "excellent").when((diversity >= 0.5) & (redundancy <= 0.4), "good").otherwise("to improve")
+    return {
+        "quality": good, "redundancy_band": F.when(redundancy <= 0.1, "slight").when(redundancy <= 0.3, "medium").otherwise("severe"),
+        "compression_band": F.when(fewer <= 5, "low").when(fewer <= 15, "medium").otherwise("high"), "overall": overall,
+    }
+
+
+def advice(mean: Column) -> Column:
+    """What a report says about a mean score of 1 to 5."""
+    return F.when(mean >= 4, "keep").when(mean >= 3, "refine").when(mean >= 2, "improve weak criteria").otherwise("make anew")

@@ -86,9 +86,10 @@ def capacity_prompt(lines: Column) -> Column:
     return F.concat(F.lit('Find as many different topics as there are in these articles, and state {"estimated_topics": n}.\n'), lines)
 
 
-def hierarchy_prompt(title: Column, topic: Column, keywords: Column, text: Column, most: int = 1000) -> Column:
-    """Asks for secondary and tertiary topics of an article."""
-    head = F.concat_ws("\n", F.concat(F.lit("Title: "), title), F.concat(F.lit("Topic: "), topic), F.concat(F.lit("Keywords: "), keywords), F.concat(F.lit("Text: "), F.substring(text, 1, most)))
+def hierarchy_prompt(title: Column, topic: Column, keywords: Column, text: Column, most: int | None = None) -> Column:
+    """Asks for secondary and tertiary topics of an article, whole or by a preview of ``most`` characters."""
+    text = text if most is None else F.substring(text, 1, most)
+    head = F.concat_ws("\n", F.concat(F.lit("Title: "), title), F.concat(F.lit("Topic: "), topic), F.concat(F.lit("Keywords: "), keywords), F.concat(F.lit("Text: "), text))
     return F.concat(head, F.lit('\nName narrower topics as {"secondary_topics": ["..."], "tertiary_topics": ["..."]}.'))
 
 

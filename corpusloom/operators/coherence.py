@@ -114,13 +114,59 @@ def once_only(words: DataFrame, by: list[str], total: Column) -> DataFrame:
 
 
 def rank_biased_overlap(a: Column, b: Column, p: float = 0.9) -> Column:
-    """(1 - p) times the sum over depths d of p^(d-1) |A_d and B_d| / d, down to the shorter list."""
+    """(1 - p) times the sum over depths d of p^(d-1) |A_d and B_d| / d, down to the shorter list; where the other is longer, plus
+    the shorter list's whole agreement once more at p^(its length). 0 where a list is empty."""
     depth = F.least(F.size(a), F.size(b))
-    term = lambda d: F.pow(F.lit(p), d - 1) * F.size(F.array_intersect(F.slice(a, 1, d), F.slice(b, 1, d))) / d
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0.0), lambda s, d: s + term(d))
-    return F.when(depth > 0, (1 - p) * total).otherwise(0.0)
+    agreed = lambda d: F.size(F.array_intersect(F.slice(a, 1, d), F.slice(b, 1, d))) / d
+    total = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0.0), lambda s, d: s + F.pow(F.lit(p), d - 1) * agreed(d))
+    tail = F.when(F.size(a) != F.size(b), agreed(F.greatest(depth, F.lit(1))) * F.pow(F.lit(p), depth)).otherwise(0.0)
+    return F.when(depth > 0, (1 - p) * (total + tail)).otherwise(0.0)
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
     smaller = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
     return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).otherwise(0.0)
+
+
+def shared_words(words: DataFrame, by: list[str], topic: str) -> DataFrame:
+    """(by, a, b, shared, size_a, size_b) for all pairs a < b of topics in a group that share a word. ``words`` has ``topic`` and word.
+
+    Pairs meet at their words instead of each with each; topics that share nothing have no row.
+    """
+    sets = words.select(*by, topic, "word").distinct()
+    sizes = sets.groupBy(*by, topic).agg(F.count("*").alias("n"))
+    x, y = sets.withColumnRenamed(topic, "a"), sets.withColumnRenamed(topic, "b")
+    shared = x.join(y, [*by, "word"]).filter("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("shared"))
+    for side in ("a", "b"):
+        shared = shared.join(sizes.select(*by, F.col(topic).alias(side), F.col("n").alias(f"size_{side}")), [*by, side])
+    return shared
+
+
+def slice_npmi(docs: DataFrame, key: str, tokens: str, time_slice: str, topics: DataFrame, topic: str) -> DataFrame:
+    """(time_slice, topic, pairs, npmi): ``npmi`` over the documents of each slice alone, of pairs that occur together there; null without any."""
+    asked = topics.select("word").distinct()
+    held = docs.select(time_slice, key, F.explode(F.array_distinct(tokens)).alias("word")).join(asked, "word")
+    single = held.groupBy(time_slice, "word").agg(F.count("*").alias("n"))
+    kinds = word_pairs(topics, topic)
+    a, b = held.withColumnRenamed("word", "w1"), held.withColumnRenamed("word", "w2")
+    both = a.join(kinds.select("w1", "w2").distinct(), "w1").join(b, [time_slice, key, "w2"]).groupBy(time_slice, "w1", "w2").agg(F.count("*").alias("n12"))
+    total = docs.groupBy(time_slice).agg(F.count("*").alias("n"))
+    counted = kinds.join(both, ["w1", "w2"]).join(total, time_slice)
+    for i in (1, 2):
+        counted = counted.join(single.select(time_slice, F.col("word").alias(f"w{i}"), F.col("n").alias(f"n{i}")), [time_slice, f"w{i}"])
+    v = F.when(F.col("n12") == F.col("n"), 1.0).otherwise(F.log(F.col("n12") * F.col("n") / (F.col("n1") * F.col("n2"))) / -F.log(F.col("n12") / F.col("n")))
+    return counted.groupBy(time_slice, topic).agg(F.count("*").alias("pairs"), F.avg(v).alias("npmi"))
+
+
+def slice_diversity(topics: DataFrame, slice_terms: DataFrame, time_slice: str, topic: str) -> DataFrame:
+    """(time_slice, once, diversity): words of one topic only that the slice's vocabulary holds, over topics times the words of the first topic."""
+    per = topics.groupBy(time_slice, "word").agg(F.count("*").alias("n")).filter("n = 1")
+    once = per.join(slice_terms.select(time_slice, F.col("term").alias("word")).distinct(), [time_slice, "word"]).groupBy(time_slice).agg(F.count("*").alias("once"))
+    sizes = topics.groupBy(time_slice, topic).agg(F.count("*").alias("n")).groupBy(time_slice).agg(F.count("*").alias("k"), F.min_by("n", topic).alias("t"))
+    return sizes.join(once, time_slice, "left").fillna(0, ["once"]).select(time_slice, "once", (F.col("once") / (F.col("k") * F.col("t"))).alias("diversity"))
+
+
+def absent_topic_words(topics: DataFrame, slice_terms: DataFrame, time_slice: str) -> DataFrame:
+    """(time_slice, word): topic words that a slice does not hold at all. Slices and topic words are few."""
+    words = topics.select("word").distinct()
+    return slice_terms.select(time_slice).distinct().crossJoin(words).join(slice_terms.select(time_slice, F.col("term").alias("word")), [time_slice, "word"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
@@ -154,10 +154,12 @@ def multilevel_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dynamic_diversity(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "nyt_sampled").filter("text is not null and topic is not null").select(F.date_format("loaded_at", "yyyy-MM").alias("time_slice"), "topic", text.words(F.col("text")).alias("ws"))
-    top = co.top_terms(docs.select(F.struct("time_slice", "topic").alias("g"), "ws"), "g", "ws", 10).select("g.time_slice", "g.topic", "word")
-    once = co.once_only(top, ["time_slice"], F.col("n"))
-    return once.select("time_slice", "once", *R("share"))
+    rows = table(spark, d, "nyt_sampled").filter("text is not null and topic is not null").select("row_id", F.date_format("loaded_at", "yyyy-MM").alias("time_slice"), "topic", text.words(F.col("text")).alias("ws"))
+    top = co.top_terms(rows.select(F.struct("time_slice", "topic").alias("g"), "ws"), "g", "ws", 10).select("g.time_slice", "g.topic", "word")
+    # the vocabulary leaves out words of most documents, as models see it
+    kept = vocabulary.vocabulary(rows, "row_id", "ws", min_df=3, max_df=0.5).select("term")
+    held = rows.select("time_slice", F.explode("ws").alias("term")).distinct().join(kept, "term")
+    return co.slice_diversity(top, held, "time_slice", "topic").select("time_slice", "once", *R("diversity"))
 
 
 def _lists(spark, d):
@@ -165,19 +167,20 @@ def _lists(spark, d):
     return t.select("result_id", "topic_num", F.filter(F.transform("keywords", lambda w: F.lower(F.trim(w))), lambda w: w != "").alias("ws"))
 
 
-def _neighbours(spark, d):
-    a = _lists(spark, d).select("result_id", "topic_num", F.col("ws").alias("a"))
-    b = _lists(spark, d).select("result_id", (F.col("topic_num") - 1).alias("topic_num"), F.col("ws").alias("b"))
-    return a.join(b, ["result_id", "topic_num"])
-
-
 def rbo(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d).select("result_id", "topic_num", F.round(co.rank_biased_overlap(F.col("a"), F.col("b")), 6).alias("rbo"))
+    """Two runs of equally many topics: their topics' words, in order, compared topic by topic."""
+    placed = _lists(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("result_id").orderBy("topic_num")))
+    sized = placed.join(placed.groupBy("result_id").agg(F.count("*").alias("n")), "result_id")
+    a, b = (sized.select("at", "n", F.col("result_id").alias(f"{s}_run"), F.col("ws").alias(s)) for s in ("a", "b"))
+    pairs = a.join(b, ["at", "n"]).filter("a_run < b_run")
+    return pairs.groupBy("a_run", "b_run").agg(F.round(F.avg(co.rank_biased_overlap(F.col("a"), F.col("b"))), 6).alias("rbo"))
 
 
 def overlap_coef(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _neighbours(spark, d).select("result_id", co.overlap_coefficient(F.col("a"), F.col("b")).alias("o"))
-    return pairs.groupBy("result_id").agg(F.round(F.max("o"), 6).alias("overlap"))
+    """The largest overlap between any two topics of a run, 0 where none share a word."""
+    words = _topic_words(spark, d)
+    most = co.shared_words(words, ["result_id"], "topic_id").groupBy("result_id").agg(F.max(F.col("shared") / F.least("size_a", "size_b")).alias("overlap"))
+    return words.select("result_id").distinct().join(most, "result_id", "left").fillna(0.0, ["overlap"]).select("result_id", *R("overlap"))
 
 
 def _vectors(spark, d):
@@ -295,8 +298,6 @@ both_ as (select a.word w1, b.word w2, count(*) n12 from present a join present
 counted as (select p.*, coalesce(n12, 0) n12, coalesce(s1.n, 0) n1, coalesce(s2.n, 0) n2, total.n n from pairs p left join both_ using (w1, w2) left join single s1 on s1.word = w1 left join single s2 on s2.word = w2, total)"""
 _NPMI = "case when n12 = 0 then null when n12 = n then 1 else ln(n12 * n / (n1 * n2)) / -ln(n12 / n) end"
 _TOPW = "with w as (select result_id, topic_id, lower(trim(k, ' ')) word from (select result_id, topic_id, unnest(keywords) k from topics) where trim(k, ' ') <> '')"
-_NEIGH = """with l as (select result_id, topic_num, list_filter(list_transform(keywords, lambda w: lower(trim(w, ' '))), lambda w: w <> '') ws from topics where keywords is not null),
-p as (select x.result_id, x.topic_num, x.ws a, y.ws b from l x join l y on x.result_id = y.result_id and y.topic_num = x.topic_num + 1)"""
 _LONG = "with l as (select vec_id, label, unnest(embedding)::double w, generate_subscripts(embedding, 1) - 1 dim from embeddings), c as (select label, dim, avg(w) w from l group by 1, 2)"
 _HIER = f"""with rows_ as (select doc_id, topic, source, regexp_extract_all(lower(text), '{W}') ws from documents where topic is not null and source is not null and text is not null),
 phi as (select topic parent, source child, count(*) w from documents where topic is not null and source is not null group by 1, 2),
@@ -376,13 +377,22 @@ select topic_id, round(c, 6) clean_share, round(s, 6) stop_share, round(d, 6) di
     "topic_diversity": _TOPW + " select result_id, round(count(distinct word) / count(*), 6) diversity, count(*) n_words from w group by 1",
     "word_uniqueness": _TOPW + ", g as (select result_id, word, count(*) n from w group by 1, 2) select result_id, round(count(*) filter (n = 1) / count(*), 6) uniqueness from g group by 1",
     "multilevel_diversity": _TOPW + ", g as (select count(distinct word) / count(*) v from w group by result_id) select round(avg(v), 6) mean_diversity from g",
-    "dynamic_diversity": f"""with w as (select strftime(loaded_at, '%Y-%m') time_slice, topic, unnest(regexp_extract_all(lower(text), '{W}')) word from nyt_sampled where text is not null and topic is not null),
-t as (select time_slice, topic, word, row_number() over (partition by time_slice, topic order by count(*) desc, word) r from w group by 1, 2, 3),
-g as (select time_slice, word, count(*) n from t where r <= 10 group by 1, 2)
-select time_slice, count(*) filter (n = 1) once, round(count(*) filter (n = 1) / sum(n), 6) share from g group by 1""",
-    "rbo": _NEIGH + """ select result_id, topic_num, round(case when least(len(a), len(b)) = 0 then 0 else (1 - 0.9::double) * list_sum(list_transform(range(1, least(len(a), len(b)) + 1),
-lambda d: pow(0.9, d - 1) * len(list_intersect(a[1:d], b[1:d])) / d)) end, 6) rbo from p""",
-    "overlap_coef": _NEIGH + " select result_id, round(max(case when least(len(list_distinct(a)), len(list_distinct(b))) > 0 then len(list_intersect(a, b)) / least(len(list_distinct(a)), len(list_distinct(b))) else 0 end), 6) overlap from p group by 1",
+    "dynamic_diversity": f"""with w as (select row_id, strftime(loaded_at, '%Y-%m') time_slice, topic, unnest(regexp_extract_all(lower(text), '{W}')) word from nyt_sampled where text is not null and topic is not null),
+t as (select time_slice, topic, word, row_number() over (partition by time_slice, topic order by count(*) desc, word) r from w group by 1, 2, 3), top as (select * from t where r <= 10),
+kept as (select word from w group by 1 having count(distinct row_id) >= 3 and count(distinct row_id) <= 0.5 * (select count(*) from nyt_sampled where text is not null and topic is not null)),
+held as (select distinct time_slice, word from w where word in (select word from kept)),
+once as (select time_slice, count(*) once from (select time_slice, word from top group by 1, 2 having count(*) = 1) join held using (time_slice, word) group by 1),
+sizes as (select time_slice, count(*) k, first(n order by topic) t from (select time_slice, topic, count(*) n from top group by 1, 2) group by 1)
+select time_slice, coalesce(once, 0) once, round(coalesce(once, 0) / (k * t), 6) diversity from sizes left join once using (time_slice)""",
+    "rbo": """with l as (select result_id, row_number() over (partition by result_id order by topic_num) i, count(*) over (partition by result_id) n,
+  list_filter(list_transform(keywords, lambda w: lower(trim(w, ' '))), lambda w: w <> '') ws from topics where keywords is not null),
+p as (select x.result_id a_run, y.result_id b_run, x.ws a, y.ws b, least(len(x.ws), len(y.ws)) m from l x join l y on x.i = y.i and x.n = y.n and x.result_id < y.result_id),
+s as (select a_run, b_run, case when m = 0 then 0 else (1 - 0.9::double) * (list_sum(list_transform(range(1, m + 1), lambda d: pow(0.9, d - 1) * len(list_intersect(a[1:d], b[1:d])) / d))
+  + case when len(a) <> len(b) then len(list_intersect(a[1:m], b[1:m])) / m * pow(0.9, m) else 0 end) end v from p)
+select a_run, b_run, round(avg(v), 6) rbo from s group by 1, 2""",
+    "overlap_coef": _TOPW + """, s as (select result_id, topic_id, list(distinct word) ws from w group by 1, 2),
+p as (select x.result_id, max(len(list_intersect(x.ws, y.ws)) / least(len(x.ws), len(y.ws))) o from s x join s y on x.result_id = y.result_id and x.topic_id < y.topic_id group by 1)
+select result_id, round(coalesce(o, 0), 6) overlap from (select distinct result_id from s) left join p using (result_id)""",
     "embedding_coherence": """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings), u as (select label, vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) v from e),
 p as (select a.label, list_dot_product(a.v, b.v) c from u a join u b on a.label = b.label and a.vec_id < b.vec_id)
 select n.label, n, round(c, 6) coherence from (select label, count(*) n from e group by 1) n left join (select label, avg(c) c from p group by 1) using (label)""",
