@@ -202,10 +202,10 @@ _VOCAB = f"""
 with docs as (select row_id, loaded_at, {_TOKENS} toks from nyt_sampled where text is not null),
 used as (select * from docs@where),
 df as (select term, count(distinct row_id) df, count(*) cf from (select row_id, unnest(toks) term from used) group by 1),
-kept as (select * from df where df >= 3 and df <= 0.5 * (select count(*) from used) order by df desc, term limit 2000),
+kept as (select * from df where df >= 3 and df <= 0.5 * (select count(*) from used) order by df desc, term@size),
 vocab as (select row_number() over (order by term) - 1 term_id, term, df, cf from kept),
 bow as (select row_id, term_id, count(*) cnt from (select row_id, unnest(toks) term from used) join vocab using (term) group by 1, 2)"""
-_V, _B = _VOCAB.replace("@where", ""), _VOCAB.replace("@where", " where len(toks) >= 5")
+_V, _B = (_VOCAB.replace("@size", "").replace("@where", w) for w in ("", " where len(toks) >= 5"))
 _FIELD = "nullif(trim({0}, ' '), '')"
 _LINE_SQL = "concat_ws(' | ', " + ", ".join(f"'{k}: ' || {_FIELD.format(c)}" for k, c in _LINE.items()) + ")"
 _CONTEXT = "length(coalesce(title, '')) + length(coalesce(text, '')) + length(coalesce(topic, '')) + length(coalesce(keywords, ''))"
@@ -224,7 +224,7 @@ select topic_id, row_id, title, match_score, match_count, matched_keywords from
     "title_validation": "select topic_id, title, min(ref_id) ref_id from source_titles_with_ids where title in (select title from nyt_sampled where title is not null) group by 1, 2",
     "clean_text": f"select doc_id, md5({_CLEAN}) cleaned from documents",
     "clean_tokens": f"select doc_id, len(t)::int n_tokens, array_to_string(t, ' ') tokens from (select doc_id, {_TOKENS} t from documents)",
-    "vocab_df": _V + " select term_id, term, df, cf from vocab",
+    "vocab_df": _VOCAB.replace("@size", " limit 2000").replace("@where", "") + " select term_id, term, df, cf from vocab",
     "vocab_full": _V + " select row_number() over (order by term) - 1 term_id, term, df, cf from df",
     "bow": _B + " select * from bow",
     "bow_shares": _B + " select row_id, term_id, round(cnt / sum(cnt) over (partition by row_id), 6) w from bow",

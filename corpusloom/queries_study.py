@@ -345,12 +345,12 @@ case when diversity >= 0.7 and redundancy <= 0.2 then 'excellent' when diversity
     "split_sizes": """with n as (select source, count(*) * 3 tr, count(*) te from documents group by 1), s as (select *, least(te, 40) a, floor(least(te, 40) / 0.2::double * 0.8::double + 1e-9) b from n)
 select source, (case when b > tr then tr else b end)::bigint train, (case when b > tr then floor(tr / 0.8::double * 0.2::double + 1e-9) else a end)::bigint test from s""",
     "split_labels": f"select topic, count(*) filter (s = 'train') n_train, count(*) filter (s = 'test') n_test from (select topic, {_SPLIT} s from nyt_sampled where topic is not null) group by 1",
-    "split_vocab": qc._B.replace(" limit 2000", "") + f", p as (select term_id, sum(case when s = 'train' then cnt else 0 end)::bigint train, sum(case when s = 'test' then cnt else 0 end)::bigint test from (select *, {_SPLIT} s from bow) group by 1) select term_id, term, train, test from vocab join p using (term_id)",
+    "split_vocab": qc._B + f", p as (select term_id, sum(case when s = 'train' then cnt else 0 end)::bigint train, sum(case when s = 'test' then cnt else 0 end)::bigint test from (select *, {_SPLIT} s from bow) group by 1) select term_id, term, train, test from vocab join p using (term_id)",
     "translation_map": _LANG + """, p as (select en, de, e.cf from d join v e on e.lang = 'en' and e.term = en join v g on g.lang = 'de' and g.term = de), n as (select count(*) n from v where lang = 'de'),
 w as (select en, sum(cf) + max(n) whole from p, n group by 1) select en term_a, de term_b, round((cf + 1) / whole, 9) w, round(1 / whole, 9) rest from p join w using (en)""",
     "language_zip": """with e as (select doc_id, row_number() over (order by doc_id) - 1 p, count(*) over () n from documents where lang = 'en'), g as (select doc_id, row_number() over (order by doc_id) - 1 p, count(*) over () n from documents where lang = 'de'),
 s as (select unnest(range((select greatest(max(e.n), max(g.n)) from e, g))) i) select i "at", e.doc_id a, g.doc_id b from s join e on e.p = i % e.n join g on g.p = i % g.n""",
-    "slice_gather": qc._V.replace(" limit 2000", "") + """, u as (select row_id, strftime(loaded_at, '%Y-%m') ts from used), n as (select ts, count(*) n from u group by 1),
+    "slice_gather": qc._V + """, u as (select row_id, strftime(loaded_at, '%Y-%m') ts from used), n as (select ts, count(*) n from u group by 1),
 f as (select ts, term_id, sum(cnt) / max(n) m from bow join u using (row_id) join n using (ts) group by 1, 2) select row_id, round(sum(m), 6) "use" from bow join u using (row_id) join f using (ts, term_id) group by 1""",
     "stored_analysis": "with tp as (select topic_id, list_filter(coalesce(keywords, []), lambda w: trim(coalesce(w, ''), ' ') <> '') keywords from topics)," + _C["topic_enhance"].lstrip()[4:].replace("from topics", "from tp").replace("join topics t", "join tp t").replace("\nselect topic_id, row_id, title, match_score, match_count, matched_keywords from capped", ",\nenhanced as (select topic_id, row_id, match_score from capped") + """),
 m as (select topic_id, count(*) matches, max(match_score) best from enhanced group by 1)
