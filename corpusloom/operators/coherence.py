@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import match
+
 
 def top_terms(rows: DataFrame, by: str, terms: str, k: int) -> DataFrame:
     """(by, pos, word): the ``k`` most frequent values of the arrays ``terms``, ties in the order of the values; pos from 1."""
@@ -26,15 +31,32 @@ def presence(docs: DataFrame, key: str, tokens: str, topics: DataFrame) -> DataF
     return docs.select(key, F.explode(F.array_distinct(tokens)).alias("word")).join(asked, "word")
 
 
+def words_inside(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """(token, word): the words that lie anywhere in a token; ``tokens`` has token and ``asked`` word, each once.
+
+    Up to MOST_CHARS characters of words go to every task, which reads each token once; more of them are tried on every token.
+    """
+    if not match.ahocorasick or (asked.agg(F.sum(F.length("word"))).first()[0] or 0) > match.MOST_CHARS:
+        return tokens.join(asked, F.expr("contains(token, word)")).select("token", "word")
+    shared = tokens.sparkSession.sparkContext.broadcast([r.word for r in asked.filter("word <> ''").collect()])  # bounded by MOST_CHARS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = match._automaton(shared.value) if shared.value else None
+        for b in batches:
+            pairs = [(t, w) for t in b.column(0).to_pylist() for w in {w for _, w in automaton.iter(t)}] if automaton else []
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["token", "word"])
+
+    return tokens.mapInArrow(run, "token string, word string")
+
+
 def presence_within(docs: DataFrame, key: str, tokens: str, topics: DataFrame) -> DataFrame:
     """(key, word): which topic words a document holds anywhere, also inside a token.
 
     Words meet the vocabulary, not the documents: a word of letters and digits lies within one token.
     """
-    asked = topics.select("word").distinct()
     held = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    inside = held.select("token").distinct().join(asked, F.expr("contains(token, word)")).select("token", "word")
-    return held.join(inside, "token").select(key, "word").distinct()
+    inside = words_inside(held.select("token").distinct(), topics.select("word").distinct())
+    return held.hint("merge").join(inside, "token").select(key, "word").distinct()
 
 
 def pair_counts(present: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

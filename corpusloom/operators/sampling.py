@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.plans.order import in_order
 
@@ -35,9 +36,16 @@ def token_budget(df: DataFrame, order: list[str], tokens: str, budgets: DataFram
 
     ``budgets`` is a small fixed table; sizes are not negative, so the running total only grows.
     """
-    run = in_order(df, order, tokens).select(F.col(tokens).alias("__tokens"), "running")
-    fits = budgets.join(run, F.col("running") <= F.col("budget"), "left")
-    return fits.groupBy(*budgets.columns).agg(F.count("running").alias("kept_rows"), F.coalesce(F.sum("__tokens"), F.lit(0)).alias("kept_tokens"))
+    limits = budgets.collect()  # a row per budget
+    run = in_order(df, order, tokens)
+    kept = lambda b: F.col("running") <= F.lit(b)
+    one = run.agg(
+        *[F.sum(F.when(kept(r["budget"]), 1).otherwise(0)).alias(f"n{i}") for i, r in enumerate(limits)],
+        *[F.sum(F.when(kept(r["budget"]), F.col(tokens)).otherwise(0)).alias(f"t{i}") for i, r in enumerate(limits)],
+        F.count("*").alias("all"),
+    ).first()
+    form = StructType([*budgets.schema.fields, StructField("kept_rows", LongType()), StructField("kept_tokens", LongType())])
+    return df.sparkSession.createDataFrame([(*r, one[f"n{i}"] or 0, one[f"t{i}"] or 0) for i, r in enumerate(limits)], form)
 
 
 def row_range(df: DataFrame, order: list[str], start: int, rows: int | None = None) -> DataFrame:
