@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import jsontext
-from corpusloom.models import classic, vae
+from corpusloom.models import classic, neural
 from corpusloom.operators import chat, theta, topicmetrics, vocabulary
 from corpusloom.plans.durable import durable
 from corpusloom.queries_corpus import _tokenized
@@ -79,12 +79,48 @@ def nmf_topics(spark: SparkSession, d: str) -> DataFrame:
     return _named(classic.nmf(bow, "row_id", 12)[1], vocab)
 
 
-def vae_topics(spark: SparkSession, d: str) -> DataFrame:
+def _trained(spark, d, name, topics=12, grp=None, rate=0.03, anneal=0.9, **options):
+    """A trainer of the named model on the articles, and the documents it was trained on."""
     bow, vocab = _bow(spark, d)
-    docs = durable(classic.count_lists(bow, "row_id"))
-    model = vae.TopicVAE(vocab.count(), 12, hidden=32, rate=0.02)
-    vae.fit(model, docs, epochs=30)
-    return theta.argmax(vae.infer(model, docs, "row_id"), "row_id", "topic_id").groupBy("topic_id").agg(F.count("*").alias("docs"))
+    docs = classic.count_lists(bow, "row_id")
+    if grp is not None:
+        docs = docs.join(table(spark, d, "nyt_sampled").select("row_id", grp.alias("grp")), "row_id")
+    docs = durable(docs)
+    trainer = neural.Trainer(neural.MODELS[name](vocab.count(), topics, hidden=64, rate=rate, **options), vocab, epochs=60, batch=64, anneal=anneal)
+    return trainer, docs
+
+
+def _used(trainer, docs):
+    words, weights = trainer.train(docs, "row_id")
+    used = theta.argmax(weights, "row_id", "topic_id").groupBy("topic_id").agg(F.count("*").alias("docs"))
+    return words.join(used, "topic_id", "left").fillna(0, ["docs"]).select("topic_id", "docs", "words")
+
+
+def vae_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _used(*_trained(spark, d, "product", rate=0.02, anneal=0.5))
+
+
+def embedded_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _used(*_trained(spark, d, "embedded"))
+
+
+def dynamic_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Top words of every topic in each quarter of the years."""
+    quarter = ((F.month("loaded_at") - 1) / 3).cast("int")
+    trainer, docs = _trained(spark, d, "dynamic", topics=8, grp=quarter, groups=4)
+    trainer.train(docs, "row_id")
+    out = None
+    for q in range(4):
+        one = trainer.get_top_words(8, q).withColumn("quarter", F.lit(q + 1))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def layered_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Top words of two layers of topics."""
+    trainer, docs = _trained(spark, d, "layered", layers=(4,), regular=1.0, temperature=2.0, anneal=0.8)
+    trainer.train(docs, "row_id")
+    return trainer.get_top_words(8, 0, "L-0: ").unionByName(trainer.get_top_words(8, 1, "L-1: "))
 
 
 def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +144,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (json_topics, yes_no_replies, rubric_averages, keyword_lists, assignment_judged_offline, lda_topics, nmf_topics, vae_topics, cluster_terms, class_terms, transport_topics, event_windows)}
+QUERIES = {f.__name__: f for f in (json_topics, yes_no_replies, rubric_averages, keyword_lists, assignment_judged_offline, lda_topics, nmf_topics, vae_topics, embedded_topics, dynamic_topics, layered_topics, cluster_terms, class_terms, transport_topics, event_windows)}
 
 from corpusloom.queries_corpus import _V  # noqa: E402
 

@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corpusloom.models import classic, transport, vae
+from corpusloom.models import classic, transport
 from corpusloom.operators import chat, match, sampling
 from corpusloom.plans.order import in_order
 from corpusloom.plans.skew import hot_split_join
@@ -11,34 +11,6 @@ from corpusloom.sources import files
 from corpusloom.streaming import live
 
 
-@pytest.mark.parametrize("decoder", ["product", "mixture", "embedded"])
-def test_gradients(decoder):
-    r = np.random.default_rng(0)
-    m = vae.TopicVAE(9, 3, hidden=4, decoder=decoder, words=r.standard_normal((9, 5)))
-    x, noise = r.integers(0, 4, (6, 9)).astype(float), r.standard_normal((6, 3))
-    _, g = m.gradients(x, noise)
-    for k, w in m.weights.items():
-        at = tuple(int(r.integers(0, s)) for s in w.shape)
-        kept, w[at] = w[at], w[at] + 1e-5
-        up = m.gradients(x, noise)[0]
-        w[at] = kept - 1e-5
-        down = m.gradients(x, noise)[0]
-        w[at] = kept
-        assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-4), k
-
-
-def test_training_lowers_the_loss(spark):
-    r = np.random.default_rng(1)
-    data = [(i, sorted(r.choice(5, 3, replace=False).tolist()) if i % 2 else sorted((5 + r.choice(5, 3, replace=False)).tolist()), [3, 2, 1]) for i in range(80)]
-    docs = spark.createDataFrame([(i, [int(t) for t in ts], c) for i, ts, c in data], "k int, terms array<int>, counts array<int>")
-    m = vae.TopicVAE(10, 2, hidden=8, rate=0.05)
-    losses = vae.fit(m, docs, epochs=25)
-    assert losses[-1] < losses[0]
-    w = vae.infer(m, docs, "k").groupBy("k").agg(F.sum("w").alias("s"))
-    assert w.filter("abs(s - 1) > 1e-9").count() == 0 and w.count() == 80
-    assert vae.fit(m, docs.limit(0), epochs=2) == []
-
-
 def test_transport():
     r = np.random.default_rng(2)
     a, b = np.full(6, 1 / 6), np.array([0.5, 0.3, 0.2])
