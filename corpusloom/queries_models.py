@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import jsontext
 from corpusloom.models import classic, neural
-from corpusloom.operators import chat, theta, topicmetrics, vocabulary
+from corpusloom.operators import chat, sampling, theta, topicmetrics, vocabulary
 from corpusloom.plans.durable import durable
 from corpusloom.queries_corpus import _tokenized
 from corpusloom.sources.tables import table
@@ -76,7 +76,22 @@ def lda_topics(spark: SparkSession, d: str) -> DataFrame:
 
 def nmf_topics(spark: SparkSession, d: str) -> DataFrame:
     bow, vocab = _bow(spark, d)
-    return _named(classic.nmf(bow, "row_id", 12)[1], vocab)
+    return _named(classic.nmf(bow, "row_id", vocab.count(), 12)[1], vocab)
+
+
+def many_topics(spark: SparkSession, d: str) -> DataFrame:
+    bow, vocab = _bow(spark, d)
+    return _named(classic.many_topics(bow, "row_id", vocab.count(), most=40)[1], vocab)
+
+
+def theta_classified(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of articles told from their topic weights: accuracy and mean F1 on the rows held out."""
+    bow, vocab = _bow(spark, d)
+    weights = classic.nmf(bow, "row_id", vocab.count(), 20)[0]
+    vectors = weights.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "w"))), lambda x: x["w"]).alias("v"))
+    labels = vocabulary.label_ids(table(spark, d, "nyt_sampled").select("row_id", "topic"), "topic").filter("label_id is not null")
+    rows = durable(sampling.train_test(vectors.join(labels, "row_id"), "row_id", 0.3))
+    return theta.accuracy_f1(classic.classified(rows, "row_id", "v", "label_id", "split"), "label_id", "guess").select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
 def _trained(spark, d, name, topics=12, grp=None, rate=0.03, anneal=0.9, **options):
@@ -144,7 +159,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (json_topics, yes_no_replies, rubric_averages, keyword_lists, assignment_judged_offline, lda_topics, nmf_topics, vae_topics, embedded_topics, dynamic_topics, layered_topics, cluster_terms, class_terms, transport_topics, event_windows)}
+QUERIES = {f.__name__: f for f in (json_topics, yes_no_replies, rubric_averages, keyword_lists, assignment_judged_offline, lda_topics, nmf_topics, many_topics, theta_classified, vae_topics, embedded_topics, dynamic_topics, layered_topics, cluster_terms, class_terms, transport_topics, event_windows)}
 
 from corpusloom.queries_corpus import _V  # noqa: E402
 

@@ -13,6 +13,7 @@ from corpusloom.operators import languages, match, sampling, topicmetrics, vocab
 from corpusloom.operators import theta as th
 from corpusloom.plans.durable import durable
 from corpusloom.plans.order import in_order
+from corpusloom.sources import corpora
 from corpusloom.sources.tables import table
 
 R = qm.R
@@ -203,6 +204,19 @@ def split_vocab(spark: SparkSession, d: str) -> DataFrame:
     return vocab.select("term_id", "term").join(per, "term_id")
 
 
+def _corpus(spark, d):
+    rows = sampling.train_test(table(spark, d, "nyt_sampled"), "row_id", 0.2)
+    return corpora.preprocess(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "row_id", "text", "topic", min_df=3, max_df=0.5, min_terms=5)
+
+
+def corpus_bow(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).bow.withColumnRenamed("key", "row_id")
+
+
+def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).docs.select("split", F.col("key").alias("row_id"), "label_id", "tokens", F.md5("text").alias("text"))
+
+
 #: A small dictionary of English and German words for the queries of two languages.
 DICTIONARY = [("school", "schule"), ("market", "markt"), ("hospital", "krankenhaus"), ("bridge", "brücke"), ("court", "gericht"), ("harbour", "hafen"), ("mill", "mühle"), ("theatre", "theater"), ("museum", "museum"), ("harvest", "ernte"), ("report", "bericht"), ("city", "stadt"), ("valley", "tal"), ("days", "tage"), ("days", "tagen")]
 
@@ -287,7 +301,7 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     topic_pairs, npmi_compare, slice_coherence, mean_slice_coherence, absent_words, evaluate_all, theta_top_words, layer_means, report_order, example_lists, evaluable_topics, runs_matrix, cost_rollup,
-    position_bands, capacity_bands, stored_topics, topic_summaries, hierarchy_replies, diversity_replies, split_sizes, split_labels, split_vocab, translation_map, language_zip, slice_gather,
+    position_bands, capacity_bands, stored_topics, topic_summaries, hierarchy_replies, diversity_replies, split_sizes, split_labels, split_vocab, corpus_bow, corpus_docs, translation_map, language_zip, slice_gather,
     stored_analysis, hierarchy_quality, score_advice, metric_report, metric_summary,
 )}
 
@@ -346,6 +360,10 @@ case when diversity >= 0.7 and redundancy <= 0.2 then 'excellent' when diversity
 select source, (case when b > tr then tr else b end)::bigint train, (case when b > tr then floor(tr / 0.8::double * 0.2::double + 1e-9) else a end)::bigint test from s""",
     "split_labels": f"select topic, count(*) filter (s = 'train') n_train, count(*) filter (s = 'test') n_test from (select topic, {_SPLIT} s from nyt_sampled where topic is not null) group by 1",
     "split_vocab": qc._B + f", p as (select term_id, sum(case when s = 'train' then cnt else 0 end)::bigint train, sum(case when s = 'test' then cnt else 0 end)::bigint test from (select *, {_SPLIT} s from bow) group by 1) select term_id, term, train, test from vocab join p using (term_id)",
+    "corpus_bow": qc._B + f" select {_SPLIT} split, row_id, term_id, cnt from bow",
+    "corpus_docs": qc._B + f""", l as (select row_id, dense_rank() over (order by topic) - 1 label_id from nyt_sampled join used using (row_id) where topic is not null),
+t as (select row_id, string_agg(term, ' ' order by pos) t from (select row_id, unnest(toks) term, generate_subscripts(toks, 1) pos from used) join vocab using (term) group by 1)
+select {_SPLIT} split, row_id, label_id, len(toks)::int tokens, md5(coalesce(t, '')) "text" from used left join l using (row_id) left join t using (row_id)""",
     "translation_map": _LANG + """, p as (select en, de, e.cf from d join v e on e.lang = 'en' and e.term = en join v g on g.lang = 'de' and g.term = de), n as (select count(*) n from v where lang = 'de'),
 w as (select en, sum(cf) + max(n) whole from p, n group by 1) select en term_a, de term_b, round((cf + 1) / whole, 9) w, round(1 / whole, 9) rest from p join w using (en)""",
     "language_zip": """with e as (select doc_id, row_number() over (order by doc_id) - 1 p, count(*) over () n from documents where lang = 'en'), g as (select doc_id, row_number() over (order by doc_id) - 1 p, count(*) over () n from documents where lang = 'de'),

@@ -35,7 +35,7 @@ def test_ml_models(spark):
     theta, beta = classic.lda(bow, "k", 10, 2, iterations=10)
     assert theta.groupBy("k").agg(F.sum("w").alias("s")).filter("abs(s - 1) > 1e-6").count() == 0
     assert beta.groupBy("topic_id").agg(F.sum("w").alias("s")).filter("abs(s - 1) > 1e-6").count() == 0
-    theta, beta = classic.nmf(bow, "k", 2)
+    theta, beta = classic.nmf(bow, "k", 10, 2)
     assert theta.filter("w < 0").count() == 0 and beta.filter("w < 0").count() == 0
     v = spark.createDataFrame([(i, [float(i % 2) * 5, 0.1 * i]) for i in range(20)], "k int, v array<double>")
     assert classic.clusters(v, "k", "v", 2).select("topic_id").distinct().count() == 2
