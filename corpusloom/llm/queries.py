@@ -29,6 +29,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sets.expand_links(members, links).drop("similarity")
 
 
+def p1_topic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of ``p1_found`` within topics, whose values SQL needs no splitter for."""
+    topics = table(spark, d, "topics").select(F.lit("topics").alias("rec_table"), "topic_id", "keywords")
+    members, links = sets.similar_sets(sets.value_sets(topics, "topic_id", "keywords", min_size=3), 0.6)
+    return sets.expand_links(members, links).select("a_key", "b_key", F.round("similarity", 9).alias("similarity"))
+
+
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     members, links = sets.similar_sets(_keyword_sets(spark, d), 0.6)
     return sets.class_report(members, links)
@@ -143,6 +150,7 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_topic_pairs": p1_topic_pairs,
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
@@ -160,7 +168,45 @@ QUERIES = {
     "p9_limits": p9_limits,
 }
 
+_WORD_SETS = """
+with w as (select row_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) ws from nyt_sampled),
+s as (select row_id, ws, len(ws) n from w where len(ws) >= 20)"""
+_BYTES = "octet_length(encode(t))"
+_COUNT = "(length(t) - length(replace(t, {}, '')))"
+_LINES = "length(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[^\n]', '', 'g')) - (length(t) - length(replace(t, chr(13) || chr(10), chr(10))))"
+_ENTITIES = f"(4 * {_COUNT.format(chr(39) + '&' + chr(39))} + 3 * {_COUNT.format(chr(39) + '<' + chr(39))} + 3 * {_COUNT.format(chr(39) + '>' + chr(39))})"
+_QUOTES = f"(5 * {_COUNT.format('chr(34)')} + 5 * {_COUNT.format('chr(39)')})"
+_ESCAPED = "(" + " + ".join(_COUNT.format(f"chr({c})") for c in (34, 92, 10, 13, 9)) + ")"
+_OTHER = "length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))"
+_ASTRAL = "length(regexp_replace(t, '[\\x{0}-\\x{FFFF}]', '', 'g'))"
+_LENGTHS = [
+    "length(t)", _BYTES, f"length(t) + {_ASTRAL}", f"length(t) + {_LINES}", f"{_BYTES} + {_LINES}", f"length(t) + {_ENTITIES}", f"length(t) + {_ENTITIES} + {_QUOTES}", f"{_BYTES} + {_ENTITIES}",
+    f"{_BYTES} + {_ENTITIES} + {_QUOTES}", f"length(t) + {_ESCAPED}", f"{_BYTES} + {_ESCAPED}", f"length(t) + {_ASTRAL} + {_ESCAPED} + 5 * ({_OTHER} + {_ASTRAL})",
+]
+
 ORACLE = {
+    "p1_topic_pairs": """
+with s as (select topic_id k, list_sort(list_distinct(list_filter(list_transform(keywords, lambda w: trim(regexp_replace(lower(w), '[\\s\\p{Z}]+', ' ', 'g'), ' ')), lambda w: w is not null and w <> ''))) v from topics),
+f as (select * from s where len(v) >= 3),
+p as (select a.k a_key, b.k b_key, len(list_intersect(a.v, b.v)) o, len(a.v) + len(b.v) n from f a join f b on a.k < b.k)
+select a_key, b_key, round(o / (n - o), 9) similarity from p where o * 10 >= (n - o) * 6""",
+    "p4_classes": _WORD_SETS + """,
+c as (select list_sort(ws) k, min(row_id) class_id, count(*) class_size, any_value(n) n from s group by 1),
+p as (select a.class_id x, b.class_id y, a.n + b.n n, len(list_intersect(a.k, b.k)) o from c a join c b on a.class_id < b.class_id and a.n * 10 >= b.n * 7 and b.n * 10 >= a.n * 7),
+l as (select x, y from p where o * 10 >= (n - o) * 7), e as (select x from l union all select y from l), d as (select x class_id, count(*) links from e group by 1)
+select row_id, class_id, class_size, coalesce(links, 0) links from s join c on c.k = list_sort(s.ws) left join d using (class_id)""",
+    "p9_limits": f"""
+with d as (select distinct coalesce(lower(trim(regexp_replace(source, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')), '') source_key, text t from documents where text <> ''),
+m as (select source_key, t, [{', '.join(_LENGTHS)}] ls from d),
+c as (select source_key, e, len, count(*) n from (select source_key, unnest(ls) len, generate_subscripts(ls, 1) - 1 e from m) group by 1, 2, 3),
+b as (select *, (sum(n) over (partition by source_key, e order by len range between 20 preceding and 20 following) - sum(n) over (partition by source_key, e order by len range between 3 preceding and current row)) / 37.0 background,
+  coalesce(sum(n) over (partition by source_key, e order by len range between 1 following and unbounded following), 0)::bigint n_longer from c),
+k as (select *, row_number() over (partition by source_key, len order by n desc, e) r, max(n) over (partition by source_key) top from b where n >= 0.05 * (n + n_longer) and n >= 6 * (background + 0.5)),
+peaks as (select *, n * 3 < top weak from k where r = 1),
+at_ as (select p.source_key, p.e, p.len, exists (select 1 from peaks q where q.source_key = p.source_key and q.n > p.n and m.ls[q.e + 1] between q.len - case when q.e in (1, 4, 7, 8, 10) then 3 else 0 end and q.len) shared
+  from peaks p join m on m.source_key = p.source_key and m.ls[p.e + 1] = p.len where p.weak),
+shadows as (select source_key, e, len from at_ group by 1, 2, 3 having avg(shared::int) > 0.5)
+select source_key, {str(truncation.ENCODINGS)}[e + 1] encoding, len::int limit_length, n n_at, n_longer from peaks where (source_key, e, len) not in (select (source_key, e, len) from shadows)""",
     "p4_found": """
 with w as (select row_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) ws from nyt_sampled),
 s as (select row_id, ws, len(ws) n from w where len(ws) >= 20),
