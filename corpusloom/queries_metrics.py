@@ -371,6 +371,15 @@ both_ as (select w1, w2, count(*) n12 from (select distinct a.row_id, a.word w1,
 counted as (select p.*, coalesce(n12, 0) n12, coalesce(s1.n, 0) n1, coalesce(s2.n, 0) n2, total.n n from pairs p left join both_ using (w1, w2) left join single s1 on s1.word = w1 left join single s2 on s2.word = w2, total),
 v as (select topic_id, {_NPMI} v from counted)
 select topic_id, count(v) pairs, round(coalesce(avg(v), 0), 6) npmi from v group by 1""",
+    "window_coherence": _NTM + """, at_ as (select row_id, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) p from docs),
+held as (select distinct row_id, word, unnest(range(greatest(1, p - 109), least(p, greatest(1, n - 109)) + 1)) s from at_ where word in (select word from words)),
+m as (select sum(greatest(1, len(ws) - 109)) m from docs where len(ws) > 0), single as (select word, count(*) n from held group by 1),
+both_ as (select a.word w1, b.word w2, count(*) n12 from held a join held b using (row_id, s) group by 1, 2),
+v0 as (select a.topic_id, a.word w1, b.word w2, coalesce(n12, 0) / m + 1e-12 p, coalesce(n12, 0) n12, coalesce(s1.n, 0) n1, coalesce(s2.n, 0) n2, m from tw a join tw b using (topic_id)
+  left join both_ on w1 = a.word and w2 = b.word left join single s1 on s1.word = a.word left join single s2 on s2.word = b.word, m),
+v as (select topic_id, w1, w2, case when n12 >= m then 1 when n1 > 0 and n2 > 0 then ln(p / (n1 / m * n2 / m)) / -ln(p) else 0 end v from v0),
+t as (select topic_id, w2, sum(v) s from v group by 1, 2), cosines as (select topic_id, w1, sum(v * s) d, sum(v * v) a, sum(s * s) b from v join t using (topic_id, w2) group by 1, 2)
+select topic_id, round(avg(case when a * b > 0 then d / sqrt(a * b) else 0 end), 6) coherence from cosines group by 1""",
     "word_quality": _NTM + f""", df as (select word, count(*) df from (select unnest(list_distinct(ws)) word from docs) group by 1),
 q as (select topic_id, avg(case when regexp_full_match(word, '[a-z]{{3,}}') and word not in ({_STOPS}) then 1.0::double else 0 end) c, avg(case when word in ({_STOPS}) then 1.0::double else 0 end) s, count(distinct word) / count(*) d, avg(coalesce(df, 0)) m from tw left join df using (word) group by 1)
 select topic_id, round(c, 6) clean_share, round(s, 6) stop_share, round(d, 6) diversity, round(m, 6) mean_df, round(c * d, 6) quality, c * d < 0.5 is_low from q""",

@@ -174,6 +174,11 @@ g as (select score, count(*) n, avg(v) mean, quantile_cont(v, 0.5) median, stdde
 select score, n, round(mean, 6) mean, round(median, 6) median, round(std, 6) std, least, most, case when mean >= 4.5 then 'excellent' when mean >= 4 then 'good' when mean >= 3.5 then 'fair' when mean >= 3 then 'passing' else 'poor' end level from g""",
     "keyword_lists": """with k as (select ref_id, list_filter(list_transform(string_split(topic_keywords, ','), lambda w: trim(w, ' ')), lambda w: w <> '') k from assignment_decisions where topic_keywords is not null)
 select ref_id, len(k)::int n, k[1] "first" from k where len(k) > 0""",
+    "assignment_judged_offline": """with p as (select topic_id, md5('Topic: ' || coalesce(topic_summary, '') || chr(10) || 'Keywords: ' || coalesce(topic_keywords, '') || chr(10) || 'Text: ' || coalesce(text, '') || chr(10)
+  || 'Is the text about the topic? Answer as {"answer": "yes"} or {"answer": "no"}.') h from assignment_decisions),
+d as (select topic_id, case when h[2] in ('0', '2', '4', '6', '8', 'a', 'c', 'e') then 'yes' else 'no' end d from p),
+g as (select topic_id, count(*) total, count(*) filter (d = 'yes') yes, count(*) filter (d = 'no') no, 0 error from d where topic_id is not null group by 1
+  union all select null, count(*), count(*) filter (d = 'yes'), count(*) filter (d = 'no'), 0 from d) select *, round(yes / total, 6) yes_share from g""",
     "class_terms": _V + """, l as (select row_id, dense_rank() over (order by topic) - 1 topic_id from nyt_sampled where topic is not null),
 p as (select topic_id, term_id, sum(cnt) n from bow join l using (row_id) group by 1, 2), m as (select avg(w) m from (select sum(n) w from p group by topic_id))
 select topic_id, term_id, round(n / sum(n) over (partition by topic_id) * ln(1 + m / sum(n) over (partition by term_id)), 6) w from p, m""",
