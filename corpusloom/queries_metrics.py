@@ -79,12 +79,16 @@ def decision_rollup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("topic_id", "total", "yes", "no", "error", *R("yes_share"))
 
 
+def judged_scores(spark, d):
+    """Scores of 1 to 5 from what the judge said of each pair: how alike, in how many areas, and at what length; null where it said nothing."""
+    judged = table(spark, d, "topic_diversity_results")
+    alike = F.when(~F.isnan("similarity_score"), F.when(F.col("similarity_score") > 1, F.col("similarity_score") / 100).otherwise(F.col("similarity_score")))
+    few = lambda n: F.when(n.isNotNull(), F.least(F.lit(5), 1 + n))
+    return judged.select("pair_id", (1 + 4 * alike).alias("coherence"), few(F.when(F.col("overlap_areas").isNotNull(), F.size("overlap_areas"))).alias("conciseness"), few(F.floor(F.length("overlap_reason") / 20)).alias("informativity"))
+
+
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "topics").select(
-        (F.col("topic_num") % 5 + 1).alias("coherence"), F.when(F.col("keyword_count").isNotNull(), F.col("keyword_count") % 5 + 1).alias("conciseness"),
-        F.when(F.col("meets_requirements"), 5).otherwise(2).alias("informativity"),
-    )
-    return tm.score_summary(s, ["coherence", "conciseness", "informativity"])
+    return tm.score_summary(judged_scores(spark, d), ["coherence", "conciseness", "informativity"])
 
 
 def _ntm(spark, d, k=K):
@@ -222,10 +226,12 @@ def purity_nmi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acc_macro_f1(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.col("text"))
-    guess = F.when(t.contains(" the "), "en").when(t.contains(" der ") | t.contains(" das ") | t.contains(" die "), "de").when(t.contains(" el ") | t.contains(" la ") & t.contains("ó"), "es").otherwise("fr")
-    rows = table(spark, d, "documents").filter("lang is not null").withColumn("guess", guess)
-    return th.accuracy_f1(rows, "lang", "guess").select("n", *R("accuracy", "macro_f1"))
+    """The topic of an article guessed as the commonest one of its source and language."""
+    rows = table(spark, d, "documents").filter("topic is not null and source is not null and lang is not null")
+    per = rows.groupBy("source", "lang", "topic").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n"), "topic"))
+    guess = per.withColumn("r", first).filter("r = 1").select("source", "lang", F.col("topic").alias("guess"))
+    return th.accuracy_f1(rows.join(F.broadcast(guess), ["source", "lang"]), "topic", "guess").select("n", *R("accuracy", "macro_f1"))
 
 
 def _phi(spark, d):
@@ -322,6 +328,9 @@ result as (select x.parent, x.child, round(case when coalesce(n, 0) + coalesce(b
 _DIFF = ", h as (select x.parent, x.child, word from x join up on up.topic = x.parent union all select x.parent, x.child, word from x join low on low.topic = x.child), g as (select parent, child, word, count(*) n from h group by 1, 2, 3), f as (select parent, child, sum(case when n = 1 then 1 else 0 end) / sum(n) diversity from g group by 1, 2)"
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
+JUDGED = """with s as (select pair_id, 1 + 4 * case when isnan(similarity_score) then null when similarity_score > 1 then similarity_score / 100 else similarity_score end coherence,
+  case when overlap_areas is not null then least(5, 1 + len(overlap_areas)) end::double conciseness, case when overlap_reason is not null then least(5, 1 + floor(length(overlap_reason) / 20)) end::double informativity from topic_diversity_results)"""
+
 ORACLE = {
     "topic_distribution": _N + """, g as (select result_id, count(*) topics, avg(n) mean, var_pop(n) variance, stddev_pop(n) std, min(n) least, max(n) most from n group by 1),
 h as (select *, case when mean <> 0 then std / mean else 0 end cv from g)
@@ -355,8 +364,8 @@ round(count(*) filter (pair_list = 'redundant_pairs') / max(n), 6) redundancy, r
 g as (select topic_id, count(*) total, count(*) filter (d = 'yes') yes, count(*) filter (d = 'no') no, count(*) filter (d = 'error') error from d where topic_id is not null group by 1
   union all select null, count(*), count(*) filter (d = 'yes'), count(*) filter (d = 'no'), count(*) filter (d = 'error') from d)
 select *, round(yes / total, 6) yes_share from g""",
-    "score_summary": """with s as (select topic_num % 5 + 1 coherence, keyword_count % 5 + 1 conciseness, case when meets_requirements then 5 else 2 end informativity from topics),
-l as (select unnest(['coherence', 'conciseness', 'informativity']) score, unnest([coherence, conciseness, informativity])::double v from s where coherence is not null and conciseness is not null),
+    "score_summary": JUDGED + """,
+l as (select unnest(['coherence', 'conciseness', 'informativity']) score, unnest([coherence, conciseness, informativity]) v from s where coherence is not null and conciseness is not null and informativity is not null),
 g as (select score, count(*) n, avg(v) mean, quantile_cont(v, 0.5) median, coalesce(stddev_samp(v), 0) std, min(v) least, max(v) most from l group by 1)
 select score, n, round(mean, 6) mean, round(median, 6) median, round(std, 6) std, round(least, 6) least, round(most, 6) most,
 case when mean >= 4.5 then 'excellent' when mean >= 4 then 'good' when mean >= 3.5 then 'fair' when mean >= 3 then 'passing' else 'poor' end level from g""",
@@ -414,10 +423,10 @@ select n.label, n, round(c, 6) coherence from (select label, count(*) n from e g
 x as (select *, sum(n) over (partition by t) nt, sum(n) over (partition by p) np, max(n) over (partition by p) best, sum(n) over () a from c),
 s as (select sum(n)::bigint n, (select sum(m) from (select max(n) m from c group by p)) / max(a) purity, sum(n / a * ln(n * a / (nt * np))) i, -sum(n / a * ln(nt / a)) ht, -sum(n / a * ln(np / a)) hp from x)
 select n, round(purity, 6) purity, round(2 * i / (ht + hp), 6) nmi from s""",
-    "acc_macro_f1": """with r as (select lang, case when contains(lower(text), ' the ') then 'en' when contains(lower(text), ' der ') or contains(lower(text), ' das ') or contains(lower(text), ' die ') then 'de'
-  when contains(lower(text), ' el ') or contains(lower(text), ' la ') and contains(lower(text), 'ó') then 'es' else 'fr' end g from documents where lang is not null),
-k as (select lang c from r union select g from r), f as (select c, 2 * (select count(*) from r where lang = c and g = c) / ((select count(*) from r where lang = c) + (select count(*) from r where g = c)) f from k)
-select (select count(*) from r) n, round((select count(*) from r where lang = g) / (select count(*) from r), 6) accuracy, round(avg(f), 6) macro_f1 from f""",
+    "acc_macro_f1": """with d as (select source, lang, topic from documents where topic is not null and source is not null and lang is not null),
+g as (select source, lang, first(topic order by n desc, topic) g from (select source, lang, topic, count(*) n from d group by 1, 2, 3) group by 1, 2), r as (select topic, g from d join g using (source, lang)),
+k as (select topic c from r union select g from r), f as (select c, 2 * (select count(*) from r where topic = c and g = c) / ((select count(*) from r where topic = c) + (select count(*) from r where g = c)) f from k)
+select (select count(*) from r) n, round((select count(*) from r where topic = g) / (select count(*) from r), 6) accuracy, round(avg(f), 6) macro_f1 from f""",
     "hierarchy_edges": _HIER + " select parent, child from links",
     "pcc": _HIER + ", x as (select parent, child from links)" + _CROSS.replace("@up", "up") + " select * from result",
     "pcd": _HIER + ", x as (select parent, child from links)" + _DIFF + " select parent, child, round(diversity, 6) diversity from f",

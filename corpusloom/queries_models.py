@@ -11,6 +11,7 @@ from corpusloom.models import classic, neural
 from corpusloom.operators import chat, sampling, theta, topicmetrics, vocabulary
 from corpusloom.plans.durable import durable
 from corpusloom.queries_corpus import _tokenized
+from corpusloom.queries_metrics import JUDGED, judged_scores
 from corpusloom.sources.tables import table
 from corpusloom.streaming import live
 
@@ -38,10 +39,12 @@ def yes_no_replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rubric_averages(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("topic_num")
-    s = lambda e: F.struct(e.cast("double").alias("score"))
-    reply = F.to_json(F.struct(F.struct(s(n % 5 + 1).alias("coherence"), s((n * 2) % 5 + 1).alias("conciseness"), s((n * 3) % 5 + 1).alias("informativity")).alias("evaluation"), (n % 4 + 1).cast("double").alias("overall_score")))
-    scored = table(spark, d, "topics").select(jsontext.rubric(F.concat(F.lit("Sure: "), reply)).alias("r")).select("r.*")
+    """Scores as a judge replies with them, parsed again; a row without all of them is no complete judgement."""
+    s = judged_scores(spark, d)
+    one = lambda c: F.struct(F.col(c).cast("double").alias("score"))
+    mean = (F.col("coherence") + F.col("conciseness") + F.col("informativity")) / 3
+    reply = F.to_json(F.struct(F.struct(*[one(c).alias(c) for c in ("coherence", "conciseness", "informativity")]).alias("evaluation"), mean.alias("overall_score")))
+    scored = s.select(jsontext.rubric(F.concat(F.lit("Sure: "), reply)).alias("r")).select("r.*")
     return topicmetrics.score_summary(scored, ["coherence", "conciseness", "informativity", "overall"])
 
 
@@ -163,15 +166,14 @@ QUERIES = {f.__name__: f for f in (json_topics, yes_no_replies, rubric_averages,
 
 from corpusloom.queries_corpus import _V  # noqa: E402
 
-_SCORES = "with s as (select (topic_num % 5 + 1)::double a, ((topic_num * 2) % 5 + 1)::double b, ((topic_num * 3) % 5 + 1)::double c, (topic_num % 4 + 1)::double o from topics)"
-
 ORACLE = {
     "json_topics": "select * from (values " + ", ".join(f"({a}, {b}, '{c}', '{e}', {str(f).lower()})" for a, b, c, e, f in _PARSED) + ") t(reply_id, topic_num, summary, keywords, rescued)",
     "yes_no_replies": """select ref_id, case when ref_id % 2 = 0 then case when lower(llm_decision) = 'yes' then 'yes' else 'no' end
 when llm_decision is null then 'error' when contains(lower(llm_decision), 'yes') then 'yes' else 'no' end decision from assignment_decisions""",
-    "rubric_averages": _SCORES + """, l as (select unnest(['coherence', 'conciseness', 'informativity', 'overall']) score, unnest([a, b, c, o]) v from s),
-g as (select score, count(*) n, avg(v) mean, quantile_cont(v, 0.5) median, stddev_samp(v) std, min(v) least, max(v) most from l group by 1)
-select score, n, round(mean, 6) mean, round(median, 6) median, round(std, 6) std, least, most, case when mean >= 4.5 then 'excellent' when mean >= 4 then 'good' when mean >= 3.5 then 'fair' when mean >= 3 then 'passing' else 'poor' end level from g""",
+    "rubric_averages": JUDGED + """, c as (select *, (coherence + conciseness + informativity) / 3 o from s where coherence is not null and conciseness is not null and informativity is not null),
+l as (select unnest(['coherence', 'conciseness', 'informativity', 'overall']) score, unnest([coherence, conciseness, informativity, o]) v from c),
+g as (select score, count(*) n, avg(v) mean, quantile_cont(v, 0.5) median, coalesce(stddev_samp(v), 0) std, min(v) least, max(v) most from l group by 1)
+select score, n, round(mean, 6) mean, round(median, 6) median, round(std, 6) std, round(least, 6) least, round(most, 6) most, case when mean >= 4.5 then 'excellent' when mean >= 4 then 'good' when mean >= 3.5 then 'fair' when mean >= 3 then 'passing' else 'poor' end level from g""",
     "keyword_lists": """with k as (select ref_id, list_filter(list_transform(string_split(topic_keywords, ','), lambda w: trim(w, ' ')), lambda w: w <> '') k from assignment_decisions where topic_keywords is not null)
 select ref_id, len(k)::int n, k[1] "first" from k where len(k) > 0""",
     "assignment_judged_offline": """with p as (select topic_id, md5('Topic: ' || coalesce(topic_summary, '') || chr(10) || 'Keywords: ' || coalesce(topic_keywords, '') || chr(10) || 'Text: ' || coalesce(text, '') || chr(10)
