@@ -25,6 +25,20 @@ class Unavailable(Exception):
         self.wait = wait
 
 
+class Denied(Exception):
+    """The service will not answer, however often it is asked."""
+
+
+def failure(status: int, retry_after: str | None = None) -> Exception:
+    """What a client raises for an HTTP status: a wait where the service is busy (60 s if it names none), else a refusal that says why."""
+    if status == 429:
+        return Unavailable(float(retry_after) if retry_after and retry_after.strip().isdigit() else 60.0)
+    if status >= 500:
+        return Unavailable(None)
+    why = {401: "the key is missing, wrong or expired", 402: "the account has no credit"}
+    return Denied(f"status {status}: {why.get(status, 'the request was refused')}")
+
+
 class OfflineClient:
     """Answers from the prompt's hash: yes or no, as JSON."""
 
@@ -33,11 +47,11 @@ class OfflineClient:
         return json.dumps({"answer": "yes" if even else "no", "explanation": "offline"})
 
 
-def call_all(prompts: DataFrame, key: str, prompt: str, client: Callable[[], Client] = OfflineClient, *, gap: float = 0.0, tries: int = 3, max_tokens: int = 1000, temperature: float = 0.0) -> DataFrame:
+def call_all(prompts: DataFrame, key: str, prompt: str, client: Callable[[], Client] = OfflineClient, *, gap: float = 0.0, tries: int = 3, patience: float = 1.0, max_tokens: int = 1000, temperature: float = 0.0) -> DataFrame:
     """(key, reply, error): one call for each row, at most one every ``gap`` seconds in each partition.
 
-    A call is tried ``tries`` times, later each time, or when the service says; a failed row comes out with a
-    null reply and its error. Rows with a null prompt are not called. The client is made in the worker and
+    A call is tried ``tries`` times, later each time (10, 20, 30 s after a lost connection, 5, 10, 15 s after other errors, times
+    ``patience``), or when the service says, and not again where it refuses; a failed row comes out with a null reply and its error. Rows with a null prompt are not called. The client is made in the worker and
     takes its credentials from its environment.
     """
     kind = prompts.schema[key].dataType.simpleString()
@@ -54,11 +68,15 @@ def call_all(prompts: DataFrame, key: str, prompt: str, client: Callable[[], Cli
                     try:
                         reply, error = service.complete(p, max_tokens, temperature), None
                         break
-                    except Unavailable as e:
+                    except Denied as e:
                         error = str(e)
-                        time.sleep(e.wait if e.wait is not None else min(10.0 * (attempt + 1), 30.0) * min(gap, 1.0))
+                        break
+                    except Unavailable as e:
+                        error, wait = str(e), e.wait if e.wait is not None else min(10.0 * (attempt + 1), 30.0) * patience
                     except Exception as e:  # noqa: BLE001 - whatever a client raises is the row's error
-                        error = f"{type(e).__name__}: {e}"
+                        error, wait = f"{type(e).__name__}: {e}", 5.0 * (attempt + 1) * patience
+                    if attempt + 1 < tries:
+                        time.sleep(wait)
                 out.append((k, reply, error))
             yield pd.DataFrame(out, columns=["key", "reply", "error"])
 

@@ -9,7 +9,7 @@ from corpusloom import queries_corpus as qc
 from corpusloom import queries_metrics as qm
 from corpusloom.functions import jsontext, numbers, text
 from corpusloom.operators import coherence as co
-from corpusloom.operators import languages, match, sampling, topicmetrics, vocabulary
+from corpusloom.operators import languages, match, pipeline, sampling, vocabulary
 from corpusloom.operators import theta as th
 from corpusloom.plans.durable import durable
 from corpusloom.plans.order import in_order
@@ -247,6 +247,17 @@ def slice_gather(spark: SparkSession, d: str) -> DataFrame:
     return bow.join(slices, "row_id").join(freq, ["time_slice", "term_id"]).groupBy("row_id").agg(F.round(F.sum("mean_cnt"), 6).alias("use"))
 
 
+def prepared_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """What every model is shown of the articles: the rows drawn for its context, and those of them that fit."""
+    lines = durable(pipeline.sized_lines(table(spark, d, "nyt_sampled"), "row_id"))
+    out = None
+    for r in table(spark, d, "model_limits").select("model", "total_context").collect():  # one row per model
+        limit = pipeline.token_limit(r.total_context)
+        one = pipeline.prepared_input(lines, limit).agg(F.count("*").alias("shown"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(F.lit(r.model).alias("model"), F.lit(limit).cast("bigint").alias("token_limit"), F.lit(pipeline.rows_that_fit(lines, limit)).cast("bigint").alias("drawn"), "shown", "tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def stored_analysis(spark: SparkSession, d: str) -> DataFrame:
     """A whole analysis from stored replies: parsed topics, their keyword flags, and what matching adds to each run."""
     listed = F.filter("t.keywords", lambda w: F.trim(w) != "")
@@ -302,7 +313,7 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     topic_pairs, npmi_compare, slice_coherence, mean_slice_coherence, absent_words, evaluate_all, theta_top_words, layer_means, report_order, example_lists, evaluable_topics, runs_matrix, cost_rollup,
     position_bands, capacity_bands, stored_topics, topic_summaries, hierarchy_replies, diversity_replies, split_sizes, split_labels, split_vocab, corpus_bow, corpus_docs, translation_map, language_zip, slice_gather,
-    stored_analysis, hierarchy_quality, score_advice, metric_report, metric_summary,
+    prepared_inputs, stored_analysis, hierarchy_quality, score_advice, metric_report, metric_summary,
 )}
 
 _O, _C = qm.ORACLE, qc.ORACLE
@@ -370,6 +381,12 @@ w as (select en, sum(cf) + max(n) whole from p, n group by 1) select en term_a,
 s as (select unnest(range((select greatest(max(e.n), max(g.n)) from e, g))) i) select i "at", e.doc_id a, g.doc_id b from s join e on e.p = i % e.n join g on g.p = i % g.n""",
     "slice_gather": qc._V + """, u as (select row_id, strftime(loaded_at, '%Y-%m') ts from used), n as (select ts, count(*) n from u group by 1),
 f as (select ts, term_id, sum(cnt) / max(n) m from bow join u using (row_id) join n using (ts) group by 1, 2) select row_id, round(sum(m), 6) "use" from bow join u using (row_id) join f using (ts, term_id) group by 1""",
+    "prepared_inputs": f"""with l as (select row_id, case when regexp_full_match(id, '[0-9]{{1,18}}') then id::bigint else 0 end num, floor(length({qc._LINE_SQL}) / 3.5)::bigint tokens,
+  row_number() over (order by md5(row_id || '|42'), row_id) r from nyt_sampled where trim(id, ' ') <> '' and trim(title, ' ') <> '' and trim(text, ' ') <> ''),
+a as (select avg(tokens) a from l where r <= 100), b as (select model, floor(greatest(total_context, 32768) * 0.75)::bigint token_limit from model_limits),
+s as (select model, token_limit, floor(token_limit / a)::bigint drawn from b, a),
+p as (select model, token_limit, drawn, tokens, sum(tokens) over (partition by model order by num, row_id rows unbounded preceding) running from s left join l on l.r <= drawn)
+select model, token_limit, drawn, count(*) filter (running <= token_limit) shown, coalesce(sum(tokens) filter (running <= token_limit), 0)::bigint tokens from p group by 1, 2, 3""",
     "stored_analysis": "with tp as (select topic_id, list_filter(coalesce(keywords, []), lambda w: trim(coalesce(w, ''), ' ') <> '') keywords from topics)," + _C["topic_enhance"].lstrip()[4:].replace("from topics", "from tp").replace("join topics t", "join tp t").replace("\nselect topic_id, row_id, title, match_score, match_count, matched_keywords from capped", ",\nenhanced as (select topic_id, row_id, match_score from capped") + """),
 m as (select topic_id, count(*) matches, max(match_score) best from enhanced group by 1)
 select result_id, count(*) topics, count(*) filter (len(tp.keywords) between 5 and 12) meeting, coalesce(sum(matches), 0)::bigint matches, max(best) best from topics join tp using (topic_id) left join m using (topic_id) group by 1""",

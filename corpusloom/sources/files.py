@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +17,62 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def sniff(spark: SparkSession, path: str, required: list[str] | None = None) -> tuple[str, str]:
-    """Encoding and delimiter whose header has the required columns: the first of the known that fits. Only the head of the file is read."""
+def first_line(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of the first line of the first file at ``path`` (a file, folder or pattern); nothing beyond them is read. Null without a file."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(where) or [])
+    while found and found[0].isDirectory():
+        inside = sorted((x for x in fs.listStatus(found[0].getPath()) if x.getPath().getName()[0] not in "._"), key=lambda x: x.getPath().getName())
+        found = inside + found[1:]
+    if not found:
+        return None
+    # bytes pass through the one encoding that changes none of them
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(found[0].getPath()), "ISO-8859-1"))
+    try:
+        return (reader.readLine() or "").encode("latin-1")
+    finally:
+        reader.close()
+
+
+def readable_in(spark: SparkSession, path: str, encodings: list[str]) -> list[str]:
+    """The encodings that decode every line of the files, in their order: one pass over the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = list(encodings)
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            for e in list(left):
+                try:
+                    for x in lines:
+                        x.decode(e)
+                except UnicodeDecodeError:
+                    left.remove(e)
+        yield pa.RecordBatch.from_arrays([pa.array([e for e in encodings if e not in left], pa.string())], names=["failed"])
+
+    failed = {r.failed for r in spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(run, "failed string").distinct().collect()}  # of the encodings asked for
+    return [e for e in encodings if e not in failed]
+
+
+def sniff(spark: SparkSession, path: str, required: list[str] | None = None, encodings: list[str] | None = None) -> tuple[str, str]:
+    """Encoding and delimiter: the first encoding that decodes the whole file and gives its header the required columns under a known delimiter."""
     required = required or REQUIRED
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).limit(1).collect()
-    if not first:
+    head = first_line(spark, path)
+    if head is None:
         raise ValueError(f"{path} holds no file")
-    head = bytes(first[0][0]).split(b"\n")[0]
-    for encoding in ENCODINGS:
-        try:
-            line = head.decode(encoding).lstrip("﻿").strip("\r")
-        except UnicodeDecodeError:
-            continue
+    for encoding in readable_in(spark, path, encodings or ENCODINGS):
+        line = head.decode(encoding).lstrip("\ufeff").strip("\r")
         for delimiter in DELIMITERS:
             if set(required) <= {c.strip().strip('"') for c in line.split(delimiter)}:
                 return encoding, delimiter
     raise ValueError(f"{path} has no header with {required}")
 
 
-def read_articles(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+def read_articles(spark: SparkSession, path: str, required: list[str] | None = None, encodings: list[str] | None = None) -> DataFrame:
     """Rows of a CSV file with all required fields, trimmed; blank optional fields become empty."""
     required = required or REQUIRED
-    encoding, delimiter = sniff(spark, path, required)
+    encoding, delimiter = sniff(spark, path, required, encodings)
     if encoding == "GBK":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -81,11 +118,44 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("ID").cast("int").alias("id"), "text", F.col("topic ID").cast("int").alias("topic_id"), words.alias("words"))
 
 
-def topics_from_lists(spark: SparkSession, lists: list[list[str]]) -> DataFrame:
-    """(id, name, keywords, description): a topic for each list, described by its first five keywords."""
-    df = spark.createDataFrame([(i, list(k)) for i, k in enumerate(lists)], "id int, keywords array<string>")
+def topics_from_lists(spark: SparkSession, lists: list) -> DataFrame:
+    """(id, name, keywords, description): a topic for each list of keywords, or each dict with ``keywords`` and maybe ``name`` and
+    ``description``; without one, a topic is described by its first five keywords."""
+    if not all(isinstance(x, (list, tuple, dict)) for x in lists):
+        raise ValueError("topics are lists of keywords or dicts with keywords")
+    given = [x if isinstance(x, dict) else {"keywords": x} for x in lists]
+    df = spark.createDataFrame([(i, list(x.get("keywords") or []), x.get("name"), x.get("description")) for i, x in enumerate(given)], "id int, keywords array<string>, name string, description string")
     first = F.array_join(F.slice("keywords", 1, 5), ", ")
-    return df.select("id", F.concat(F.lit("Topic_"), F.col("id")).alias("name"), "keywords", F.when(F.size("keywords") > 5, F.concat(first, F.lit("..."))).otherwise(first).alias("description"))
+    described = F.when(F.size("keywords") > 5, F.concat(first, F.lit("..."))).otherwise(first)
+    return df.select("id", F.coalesce("name", F.concat(F.lit("Topic_"), F.col("id"))).alias("name"), "keywords", F.coalesce("description", described).alias("description"))
+
+
+def load_topics(spark: SparkSession, source) -> DataFrame:
+    """``topics_from_lists`` of a list, or of the JSON document at a path: a list, or an object with ``topics``."""
+    import json
+
+    if isinstance(source, str):
+        source = json.loads(spark.read.text(source, wholetext=True).first().value)
+        source = source.get("topics") if isinstance(source, dict) else source
+    if not isinstance(source, list):
+        raise ValueError("no list of topics")
+    return topics_from_lists(spark, source)
+
+
+def read_texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
+    """The texts of a CSV file in UTF-8 or else Latin-1; blank ones are left out."""
+    return read_articles(spark, path, [column], ["UTF-8", "ISO-8859-1"]).select(F.col(column).alias("text"))
+
+
+def stop_words(spark: SparkSession, source: str | list[str]) -> list[str]:
+    """Stop words: a list as it is, a language by Spark's own list, or the words of a file, one a line."""
+    if not isinstance(source, str):
+        return list(source)
+    if source.isalpha():
+        from pyspark.ml.feature import StopWordsRemover
+
+        return StopWordsRemover.loadDefaultStopWords(source.lower())
+    return [r.line for r in read_lines(spark, source).filter("line <> ''").collect()]  # a word list
 
 
 def latest_per_id(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -127,3 +197,9 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
 def write_report(lines: DataFrame, path: str) -> None:
     """Lines (at, line) as text in the order of ``at``."""
     lines.repartitionByRange("at").sortWithinPartitions("at").select("line").write.mode("overwrite").text(path)
+
+
+def write_assignments(df: DataFrame, path: str) -> None:
+    """Inferred topics (id, text, topic_id, words) as CSV with a header, as ``read_assignments`` reads them."""
+    out = df.select(F.col("id").alias("ID"), "text", F.col("topic_id").alias("topic ID"), F.array_join("words", " ").alias("topic word list"))
+    out.write.mode("overwrite").csv(path, header=True, escape='"', encoding="UTF-8")
