@@ -32,9 +32,9 @@ def orphan_references(
 
     The distinct keys of the references go through a left anti join against the parents' keys; keys that
     exist are tested against two bounds per key (first delivery, start of unlimited validity), and only
-    references between those bounds are swept against the intervals, day by day, with running totals. Hot
+    references between those bounds are swept against the intervals, hour by hour, with running totals. Hot
     keys never meet in one task: aggregates are combined before the shuffle, the join back is split, and a
-    sweep covers one day of one key.
+    sweep covers one hour of one key.
     """
     named = refs.withColumns({"__key": F.col(key), "__at": F.col(at)}).filter(F.col("__key").isNotNull() & F.col("__at").isNotNull())
     held = (
@@ -75,32 +75,32 @@ def _sweep(refs: DataFrame, held: DataFrame) -> DataFrame:
     )).alias("m")).select("__key", F.col("m.t").alias("__t"), F.col("m.step").alias("__step")).filter(F.col("__t").isNotNull())
     moves = moves.join(refs.select("__key").distinct(), "__key", "left_semi")
     moves = moves.groupBy("__key", "__t").agg(F.sum("__step").alias("__step"))
-    day = lambda c: F.to_date(c)
-    per_day = moves.groupBy("__key", day(F.col("__t")).alias("__day")).agg(F.sum("__step").alias("__net"))
-    before = per_day.withColumn("__base", run_total([F.col("__key")], [F.col("__day")], F.col("__net")) - F.col("__net"))
-    # each day of a key opens with what the days before left
-    opening = before.select("__key", "__day", F.col("__base").alias("__step"))
-    asked_days = refs.select("__key", day(F.col("__at")).alias("__day")).distinct()
-    quiet = asked_days.join(per_day.select("__key", "__day"), ["__key", "__day"], "left_anti")
-    # days without a move of their own take the total of the last day with one
-    steps = before.select("__key", "__day", (F.col("__base") + F.col("__net")).alias("__after")).unionByName(
+    hour = lambda c: F.date_trunc("hour", c)
+    per_hour = moves.groupBy("__key", hour(F.col("__t")).alias("__hour")).agg(F.sum("__step").alias("__net"))
+    before = per_hour.withColumn("__base", run_total([F.col("__key")], [F.col("__hour")], F.col("__net")) - F.col("__net"))
+    # each hour of a key opens with what the hours before left
+    opening = before.select("__key", "__hour", F.col("__base").alias("__step"))
+    asked_hours = refs.select("__key", hour(F.col("__at")).alias("__hour")).distinct()
+    quiet = asked_hours.join(per_hour.select("__key", "__hour"), ["__key", "__hour"], "left_anti")
+    # hours without a move of their own take the total of the last hour with one
+    steps = before.select("__key", "__hour", (F.col("__base") + F.col("__net")).alias("__after")).unionByName(
         quiet.withColumn("__after", F.lit(None).cast("long"))
     )
     from pyspark.sql import Window
 
-    w = Window.partitionBy("__key").orderBy("__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__key").orderBy("__hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = steps.withColumn("__step", F.coalesce(F.last("__after", ignorenulls=True).over(w), F.lit(0)))
-    quiet_open = filled.filter(F.col("__after").isNull()).select("__key", "__day", "__step")
+    quiet_open = filled.filter(F.col("__after").isNull()).select("__key", "__hour", "__step")
     empty = lambda c: F.lit(None).cast(refs.schema[c].dataType).alias(c)
-    rows = refs.withColumns({"__day": day(F.col("__at")), "__t": F.col("__at"), "__kind": F.lit(2), "__step": F.lit(0).cast("long")})
+    rows = refs.withColumns({"__hour": hour(F.col("__at")), "__t": F.col("__at"), "__kind": F.lit(2), "__step": F.lit(0).cast("long")})
     others = (
         opening.unionByName(quiet_open).withColumns({"__t": F.lit(None).cast(refs.schema["__at"].dataType), "__kind": F.lit(0)})
-        .unionByName(moves.withColumns({"__day": day(F.col("__t")), "__kind": F.lit(1)}).select("__key", "__day", "__step", "__t", "__kind"))
+        .unionByName(moves.withColumns({"__hour": hour(F.col("__t")), "__kind": F.lit(1)}).select("__key", "__hour", "__step", "__t", "__kind"))
     )
     fill = [c for c in refs.columns if c != "__key"]
-    others = others.select("__key", "__day", "__t", "__kind", "__step", *map(empty, fill))
-    line = rows.select("__key", "__day", "__t", "__kind", "__step", *fill).unionByName(others)
-    open_now = run_total([F.col("__key"), F.col("__day")], [F.col("__t").asc_nulls_first(), F.col("__kind")], F.col("__step"))
+    others = others.select("__key", "__hour", "__t", "__kind", "__step", *map(empty, fill))
+    line = rows.select("__key", "__hour", "__t", "__kind", "__step", *fill).unionByName(others)
+    open_now = run_total([F.col("__key"), F.col("__hour")], [F.col("__t").asc_nulls_first(), F.col("__kind")], F.col("__step"))
     return line.withColumn("__open_now", open_now).filter((F.col("__kind") == 2) & (F.col("__open_now") <= 0))
 
 
