@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import numbers, text
 from corpusloom.operators import match, sampling, vocabulary
 from corpusloom.operators.orphans import normal_id
+from corpusloom.plans.durable import durable
 from corpusloom.sources.tables import table
 
 WORD = "[\\p{L}\\p{N}]+"
@@ -58,7 +59,7 @@ def vocab_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bow(spark: SparkSession, d: str) -> DataFrame:
-    docs = vocabulary.long_enough(_tokenized(spark, d), "tokens", 5)
+    docs = durable(vocabulary.long_enough(_tokenized(spark, d), "tokens", 5))  # read three times
     return vocabulary.bag_of_words(docs, "row_id", "tokens", _vocab(docs))
 
 
@@ -75,7 +76,7 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slice_wordfreq(spark: SparkSession, d: str) -> DataFrame:
-    docs = _tokenized(spark, d)
+    docs = durable(_tokenized(spark, d))
     slices = _articles(spark, d).filter(F.col("text").isNotNull()).select("row_id", F.date_format("loaded_at", "yyyy-MM").alias("time_slice"))
     freq = vocabulary.slice_frequency(vocabulary.bag_of_words(docs, "row_id", "tokens", _vocab(docs)), "row_id", slices)
     return freq.select("time_slice", "term_id", F.round("mean_cnt", 6).alias("mean_cnt"))

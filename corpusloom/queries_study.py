@@ -240,7 +240,7 @@ def language_zip(spark: SparkSession, d: str) -> DataFrame:
 
 def slice_gather(spark: SparkSession, d: str) -> DataFrame:
     """Per document, how its words are used in its time slice: the mean count there of each of its terms, summed."""
-    docs = qc._tokenized(spark, d)
+    docs = durable(qc._tokenized(spark, d))
     bow = vocabulary.bag_of_words(docs, "row_id", "tokens", qc._vocab(docs))
     slices = table(spark, d, "nyt_sampled").filter("text is not null").select("row_id", F.date_format("loaded_at", "yyyy-MM").alias("time_slice"))
     freq = vocabulary.slice_frequency(bow, "row_id", slices)
