@@ -30,7 +30,7 @@ def hot_split_join(
     cold = per_key.filter(F.col(uses) <= limit).drop(uses)
     hot_keys = F.broadcast(hot.select(*keys))
     through_hot = rows.join(F.broadcast(hot), keys, "inner")
-    through_cold = rows.join(hot_keys, keys, "left_anti").join(cold, keys, how)
+    through_cold = rows.join(hot_keys, keys, "left_anti").hint("merge").join(cold, keys, how)  # neither side has a bound: never broadcast
     return through_hot.unionByName(through_cold)
 
 
