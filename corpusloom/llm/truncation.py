@@ -227,10 +227,10 @@ def _meant(asked: DataFrame, documents: DataFrame, text: str) -> DataFrame:
     sentences = documents.select(tail.alias("t")).select(F.xxhash64("t").alias("copy"), F.explode(F.split("t", BETWEEN)).alias("s")).withColumn("s", F.trim("s"))
     # one row per sentence and length of a phrase that starts alike, however many phrases do
     sizes = often.groupBy(start("phrase").alias("start")).agg(F.collect_set(F.length("phrase")).alias("sizes"))
-    near = sentences.withColumn("start", start("s")).join(sizes, "start")
+    near = sentences.withColumn("start", start("s")).hint("merge").join(sizes, "start")
     heads = near.select("copy", "s", F.explode(F.filter("sizes", lambda n: n <= F.length("s"))).alias("size"))
     heads = heads.select("copy", F.expr("left(s, size)").alias("phrase"), F.expr("substring(s, size + 1)").alias("rest"))
-    other = heads.filter(~F.col("rest").rlike(rf"^{ELLIPSIS}")).join(often.select("phrase"), "phrase").groupBy("phrase").agg(F.countDistinct("copy").alias("others"))
+    other = heads.filter(~F.col("rest").rlike(rf"^{ELLIPSIS}")).hint("merge").join(often.select("phrase"), "phrase").groupBy("phrase").agg(F.countDistinct("copy").alias("others"))
     kept = often.join(other, "phrase", "left").filter(F.col("texts") > F.coalesce("others", F.lit(0)))
     return kept.select("phrase", F.lit(True).alias("meant"))
 
