@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corpusloom import cli
+from corpusloom import cli, queries_study
 from corpusloom.functions import jsontext
 from corpusloom.models import transport
 from corpusloom.operators import chat, languages, pipeline, runner
@@ -84,6 +84,17 @@ def test_replies(spark):
     assert len(t.summary) == 2000 and len(t.keywords) == 40 and t.rescued
 
 
+def test_diversity_replies_of_many_topics(spark, tmp_path):
+    n = 50_000  # n * (n - 1) is beyond 32 bits
+    pairs = spark.range(n).select(
+        F.when(F.col("id") % 5 > 0, "m").alias("model"), F.when(F.col("id") % 4 == 0, "redundant_pairs").otherwise("partial_overlap_pairs").alias("pair_list"),
+        F.col("id").alias("topic1_id"), (F.col("id") + 1).alias("topic2_id"),
+    )
+    pairs.union(pairs.withColumn("model", F.lit("big"))).write.parquet(str(tmp_path / "topic_diversity_results.parquet"))
+    got = {r.model: (r.n_topics, r.redundant, r.overlap, r.unique_topics, r.diversity, r.overlap_rate) for r in queries_study.diversity_replies(spark, str(tmp_path)).collect()}
+    assert got == {"big": (50000, 12500, 37500, 49999, 0.55, 3e-05), "m": (40000, 10000, 30000, 39999, 0.55, 3.8e-05), None: (10000, 2500, 7500, 9999, 0.55, 0.00015)}
+
+
 def test_languages(spark):
     a, b = spark.createDataFrame([(i,) for i in range(5)], "k int"), spark.createDataFrame([(10,), (11,)], "k int")
     assert rows(languages.zipped_round(a, b, "k")) == [(0, 0, 10), (1, 1, 11), (2, 2, 10), (3, 3, 11), (4, 4, 10)]
