@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -43,6 +45,45 @@ def test_ml_models(spark):
     assert w.count() == 20 and w.filter("abs(s - 1) > 1e-9").count() == 0
 
 
+def dense_nmf(x, topics, iterations, seed=1):
+    """The factorisation over the whole table of documents by words."""
+
+    def fitted(h):
+        w = np.full((len(x), topics), x.mean())
+        for _ in range(30):
+            w = w * (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        return w
+
+    h = np.random.default_rng(seed).random((topics, x.shape[1])) * np.sqrt(max(x.mean(), 1e-9) / topics) + 1e-6
+    for _ in range(iterations):
+        w = fitted(h)
+        h = h * (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
+    return fitted(h), h
+
+
+def test_factorisation_as_over_the_whole_table(spark):
+    r = np.random.default_rng(6)
+    x = np.where(r.random((50, 30)) < 0.2, r.integers(1, 5, (50, 30)), 0)
+    bow = spark.createDataFrame([(int(d), int(t), int(x[d, t])) for d, t in zip(*np.nonzero(x))], "k int, term_id int, cnt int").repartition(3)
+    theta, beta = classic.nmf(bow, "k", 30, 3, iterations=5)
+    w, h = dense_nmf(x.astype(float), 3, 5)
+    got, topics = np.zeros_like(w), np.zeros_like(h)
+    for q in theta.collect():
+        got[q.k, q.topic_id] = q.w
+    for q in beta.collect():
+        topics[q.topic_id, q.term_id] = q.w
+    np.testing.assert_allclose(got, w, rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose(topics, h, rtol=1e-6, atol=1e-8)
+
+
+def test_factorisation_of_many_words(spark):
+    """No table of documents by words: a vocabulary of 4 million words and 2000 documents would take 64 GB in all."""
+    bow = spark.range(2000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(3), F.col("id") * 2000)).alias("term_id"), F.lit(1).alias("cnt")).repartition(1)
+    began = time.monotonic()
+    theta, _ = classic.nmf(bow, "k", 4_000_000, 1, iterations=1)
+    assert theta.count() == 2000 and time.monotonic() - began < 40
+
+
 def test_order_and_skew(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 5).alias("n")).repartition(5)
     got = in_order(df, ["a"], "n").orderBy("a").collect()
