@@ -74,6 +74,8 @@ def test_factorisation_as_over_the_whole_table(spark):
         topics[q.topic_id, q.term_id] = q.w
     np.testing.assert_allclose(got, w, rtol=1e-6, atol=1e-8)
     np.testing.assert_allclose(topics, h, rtol=1e-6, atol=1e-8)
+    whole = {q.k: q.v for q in classic.nmf(bow, "k", 30, 3, iterations=5, vectors=True)[0].collect()}
+    np.testing.assert_allclose([whole[k] for k in range(50)], w, rtol=1e-6, atol=1e-8)
 
 
 def test_factorisation_of_many_words(spark):
